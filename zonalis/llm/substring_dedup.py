@@ -191,7 +191,7 @@ def settle(values: np.ndarray, wanted: np.ndarray | None, answers: list[tuple[in
 
 def with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
     lists = answers.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias("answers"))  # a bit per hash of the pack
-    return packs.join(lists, "pack", "left").select("pack", "body", "answers")
+    return packs.join(lists.hint("merge"), "pack", "left").select("pack", "body", "answers")  # one plan at every size
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one = with_answers(packs, anchors)
     windows = materialise(answer(one.mapInArrow(second, fields), ranges), "windows")
     lists = windows.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias("more"))
-    both = one.join(lists, "pack", "left").select("pack", "body", "answers", "more")
+    both = one.join(lists.hint("merge"), "pack", "left").select("pack", "body", "answers", "more")
     return both.mapInArrow(third, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
