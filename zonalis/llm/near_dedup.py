@@ -230,8 +230,8 @@ def confirm(edges: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
             hit = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield hit
 
-    left = edges.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = edges.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -245,23 +245,24 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     reps = materialise(reps.dropDuplicates(["id"]), "representatives")
     rows = reps.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    inside = rows.join(shared, "bucket")
+    inside = rows.join(shared.hint("merge"), "bucket")
     block = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / BLOCK))).otherwise(0).cast("int")
-    members = materialise(inside.select("bucket", block.alias("block"), "id", "n").join(reps.select("id", "sig"), "id"), "members")
+    members = materialise(inside.select("bucket", block.alias("block"), "id", "n").join(reps.select("id", "sig").hint("merge"), "id"), "members")
     wide = members.where(F.col("n") > BLOCK)  # a star across the blocks of a wide bucket
     hubs = wide.groupBy("bucket").agg(F.min("id").alias("hub"))
     across = wide.select("bucket", "id").join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select("id").distinct(), "id").dropDuplicates(["id"])
+    wanted = members.select("id").distinct().hint("merge")  # one plan at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").dropDuplicates(["id"])
     texts = materialise(texts, "texts")
     links = None
     tried = None
     comp = members.select("id").distinct().withColumn("comp", F.col("id"))
     each, found = 3, 1
     while found:
-        dealt = members.join(comp, "id").select("bucket", "block", "id", "comp", "sig")
+        dealt = members.join(comp.hint("merge"), "id").select("bucket", "block", "id", "comp", "sig")
         if tried is not None:  # only buckets in which components are still apart
             apart = dealt.groupBy("bucket", "block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
-            dealt = dealt.join(apart, ["bucket", "block"])
+            dealt = dealt.join(apart.hint("merge"), ["bucket", "block"])
         dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
         edges = candidates(dealt, like, each)
         edges = edges.unionByName(across).distinct() if tried is None else edges.join(tried, ["a", "b"], "left_anti")
