@@ -137,26 +137,34 @@ def sketch_table(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, hopeful: float, each: int) -> list[tuple[int, int]]:
-    """Candidate edges between components within one block: stars, and each member's most alike few."""
+    """Candidate edges between components within one block.
+
+    In the first round every member is its own component: stars, and each member's most alike few. Later a pair that is
+    still apart is offered by its side outside the block's largest component.
+    """
     n = len(ids)
     out: set[tuple[int, int]] = set()
     put = lambda i, j: out.add((int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i])))
     least = int(np.ceil(hopeful * sig.shape[1]))
+    kinds, kind, size = np.unique(comp, return_inverse=True, return_counts=True)
+    first = len(kinds) == n
+    ask = np.arange(n) if first else np.flatnonzero(kind != size.argmax())
     cols = np.ascontiguousarray(sig.T)
     degree = np.zeros(n, np.int64)
-    for a in range(0, n, 256):
-        same = np.zeros((min(256, n - a), n), np.uint8)
+    k = min(each, n - 1)
+    for a in range(0, len(ask), 256):
+        mine = ask[a : a + 256]
+        same = np.zeros((len(mine), n), np.uint8)
         for c in cols:
-            same += c[a : a + 256, None] == c[None, :]
-        same[comp[a : a + 256, None] == comp[None, :]] = 0
-        degree[a : a + 256] = (same >= least).sum(1)
-        k = min(each, n - 1)
-        top = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(same), 1))
+            same += c[mine, None] == c[None, :]
+        same[comp[mine, None] == comp[None, :]] = 0
+        degree[mine] = (same >= least).sum(1)
+        top = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k]
         for i, row in enumerate(top):
             for j in row[same[i, row] >= least]:
-                put(a + i, j)
+                put(mine[i], j)
     left = degree > 0
-    while left.any():
+    while first and left.any():
         centre = int(np.where(left, degree, -1).argmax())
         same = (sig == sig[centre]).sum(1)
         hit = left & (same >= least) & (comp != comp[centre])
