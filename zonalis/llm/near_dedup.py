@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     links = None
     tried = None
     comp = members.select("id").distinct().withColumn("comp", F.col("id"))
-    each, found = 3, 1
+    each, found = 1, 1
     while found:
         dealt = members.join(comp.hint("merge"), "id").select("bucket", "block", "id", "comp", "sig")
         if tried is not None:  # only buckets in which components are still apart
