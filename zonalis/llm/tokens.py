@@ -9,21 +9,39 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-KEEP = 500_000
+KEEP = 400_000
 #: Two blanks in a row of which one is a space: there the plain split could part a run of blanks.
 RUN = re.compile(r"\s | \s")
 CUT = re.compile(r"(?<=\S)(?= )")
+MARKS = string.punctuation.replace("'", "")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters for bytes, by its rule: printable bytes stand for themselves, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
+
+
+if sys.byteorder != "little":
+    raise ImportError("ids are laid out for little-endian machines")
 
 
 class Memo(dict):
-    """Piece to little-endian uint32 ids; emptied when it holds KEEP pieces.
+    """Piece to little-endian uint32 ids. When it holds KEEP pieces they become the older ones, and a piece met again
+    moves back, so the common pieces stay; at most twice KEEP are held.
 
-    A new piece goes through the tokenizer's own normaliser, pre-tokenizer and model; pre-tokens are kept as well, since
-    a word recurs with many marks behind it.
+    A new piece goes through the tokenizer's own normaliser, pre-tokenizer and model. A word of Latin letters with marks
+    behind it, whose pre-tokens are that word and the marks, goes to the model directly.
     """
 
     def __init__(self, path: str):
@@ -33,22 +51,42 @@ class Memo(dict):
         self.model_size = tokenizer.get_vocab_size()
         self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
         self.normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self.older: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
+        probe = [w for w, _ in self.cut(self.normal(" Ab,"))]
+        #: What the model sees for " Ab": with the space, or lower-cased without it; None: some other scheme.
+        self.head = {"\u0120Ab": LETTERS[32], "ab": ""}.get(probe[0]) if probe[1:] == [","] else None
 
     def pre_token(self, word: str) -> bytes:
-        out = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        if len(self.inner) >= KEEP:
-            self.inner.clear()
-        if len(word) <= 64:
-            self.inner[word] = out
-        return out
+        known = self.inner.get(word)
+        if known is None:
+            known = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            if len(self.inner) >= KEEP:
+                self.inner.clear()
+            if len(word) <= 64:
+                self.inner[word] = known
+        return known
+
+    def fresh(self, piece: str) -> bytes:
+        if self.head is not None and piece[0] == " ":
+            core = piece[1:].rstrip(MARKS)
+            if core.isalpha() and max(core) < "\u0130":
+                marks = piece[1 + len(core) :]
+                word = core if self.head else core.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(LETTERS)
+                out = self.pre_token(self.head + word)
+                return out + self.pre_token(marks) if marks else out
+        return b"".join([self.pre_token(w) for w, _ in self.cut(self.normal(piece))])
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEEP:
-            self.clear()
-        known = self.inner.get
-        out = b"".join([known(w) or self.pre_token(w) for w, _ in self.cut(self.normal(piece))])
+        out = self.older.get(piece)
+        if out is None:
+            out = self.fresh(piece)
         if len(piece) <= 64:
+            if len(self) >= KEEP:
+                self.older = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
