@@ -161,6 +161,11 @@ def test_html(spark):
     assert got[7][0] == got[8][0] == "Head & line\n\nFirst bold text more\n\nSecond é\xa0x\n\nOne\n\nTwo"
 
 
+@pytest.mark.parametrize(("page", "lines"), [("<p>a</p><p>b</p", ["a", "b"]), ("<p>a<img src='x", ["a"]), ("<p class=o'x>a</p><p title=\"1 > 0\">it's</p>", ["a", "it's"]), ("<p>1 < 2 <!doctype", ["1 < 2"]), ("<p a=\"b>c</p>", ["c"]), ("<" * 50_000, ["<" * 50_000])])
+def test_broken_markup(page, lines):
+    assert [t for t, _ in html_extract.lines_of(page)] == lines
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}

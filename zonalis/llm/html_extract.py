@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count behind an equals sign only; a tag that the page's end cuts off is a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -147,7 +148,18 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
 
 
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b."""
+    """Places in a of a longest common subsequence of a and b; equal beginnings and ends are taken as they are."""
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    foot = 0
+    while foot < most - head and a[-1 - foot] == b[-1 - foot]:
+        foot += 1
+    inner = longest(a[head : len(a) - foot], b[head : len(b) - foot])
+    return [*range(head), *(head + i for i in inner), *range(len(a) - foot, len(a))]
+
+
+def longest(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = defaultdict(list)
     for j in range(len(b) - 1, -1, -1):
         where[b[j]].append(j)
