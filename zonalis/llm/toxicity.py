@@ -68,6 +68,7 @@ def undisguised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     inner = np.zeros(len(raw), bool)
     if len(raw) > 2:
         inner[1:-1] = odd[1:-1] & letter[2:] & (letter[:-2] | odd[:-2])
+        inner[np.minimum(offsets[:-1], len(raw) - 1)] = inner[np.maximum(offsets[1:] - 1, 0)] = False
     total = np.concatenate([[0], np.cumsum(inner)])
     letters = np.concatenate([[0], np.cumsum(letter)])
     hit = np.flatnonzero((total[end] > total[start]) & (letters[end] - letters[start] >= 2) & (end - start <= 40))
@@ -127,6 +128,8 @@ def features(original: pa.Array, fold: np.ndarray, lexicon: Lexicon) -> np.ndarr
     same = np.zeros(len(raw0), bool)
     if len(raw0) > 2:
         same[2:] = (raw0[2:] == raw0[1:-1]) & (raw0[1:-1] == raw0[:-2])
+        for ahead in (0, 1):  # a run ends with its text
+            same[np.minimum(off0[:-1] + ahead, len(raw0) - 1)] = False
     out[:, 5] = rate(same)
     second = second_hashes()
     raw, off = text_buffers(low)
