@@ -31,7 +31,7 @@ from .common import chunks, materialise, mix, odd_constants, table, text_buffers
 from .components import connected_components
 from .words import lower_ascii, word_hashes
 
-BINS, BLOCK, CHUNK, PROBES = 128, 4096, 1 << 21, 64
+BINS, BLOCK, CHUNK, PROBES = 128, 4096, 1 << 19, 64
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,7 @@ from .common import chunks, materialise, table, text_buffers
 from .gbdt import Isotonic, Trees, fit, isotonic
 from .words import SPACE, boundaries, byte_sums, run_hashes
 
-SAMPLE, CANDIDATES, FOLDS, CHUNK, SEED = 8000, 40_000, 4, 1 << 21, 5
+SAMPLE, CANDIDATES, FOLDS, CHUNK, SEED = 8000, 40_000, 4, 1 << 18, 5
 STEMS = (4, 5, 6)
 #: Second-person words of the languages at hand.
 SECOND = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer sie ti tú usted ustedes vosotros vuestro tus".split()
