@@ -7,14 +7,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from zonalis.llm import embedding_dedup, gbdt, html_extract, media, mixing, near_dedup, packing, pii, substring_dedup, token_files, toxicity
+from zonalis.llm import embedding_dedup, gbdt, html_extract, media, mixing, near_dedup, packing, pii, substring_dedup, token_files, tokens, toxicity
 from zonalis.llm.components import connected_components
 from zonalis.llm.queries import QUERIES
-from zonalis.llm.tokens import memo
+from zonalis.llm.tokens import Memo, memo
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "two words", "a a a a a a a a", "x" * 5000, "tab\tand\nline\r\x0b\x0c end", "é ñ ü 日本語 🙂", "word " * 3000, "same text here twice", "same text here twice", "  lead  and   trail  "]
@@ -197,6 +198,15 @@ def test_memoised_encoding(docs, name):
         assert m.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_memo_forgets(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, t = Memo(path), Tokenizer.from_file(path)
+    for text in [r.text for r in docs.limit(20).collect()] * 2:
+        assert small.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(small) <= 40 and len(small.older) == 40
+
+
 def expected_ids(name, rows):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
@@ -342,6 +352,14 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = pa.array(["so b4a", "a4b aaa", "", "a", "aa", "", "y0u are n.o.t", "!!", "!!!"])
+    keys = np.sort(toxicity.second_hashes())
+    lexicon = toxicity.Lexicon(keys, np.full((1, len(keys)), 3.0), np.full((1, len(keys)), 40.0))
+    alone = [toxicity.features(texts.slice(i, 1), np.zeros(1, int), lexicon)[0] for i in range(len(texts))]
+    assert np.array_equal(toxicity.features(texts, np.zeros(len(texts), int), lexicon), np.array(alone))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "labels", "pages", "embeddings"):

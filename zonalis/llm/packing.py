@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .tokens import memo
+from .words import release
 
 WINDOW, QUANTUM, DEPTH, GROUP_TOKENS, END = 4096, 64, 4, 1 << 22, 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -153,6 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, window: int
         raise ValueError("the window must be a power of two, 64 at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m, last = memo(tokenizer), struct.pack("<I", end)
         number = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[int | None, bytes]] = {}

@@ -15,7 +15,7 @@ from array import array
 
 from tokenizers import Tokenizer
 
-KEEP = 400_000
+KEEP, SEEN = 250_000, 1 << 20
 #: Two blanks in a row of which one is a space: there the plain split could part a run of blanks.
 RUN = re.compile(r"\s | \s")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -37,8 +37,9 @@ if sys.byteorder != "little":
 
 
 class Memo(dict):
-    """Piece to little-endian uint32 ids. When it holds KEEP pieces they become the older ones, and a piece met again
-    moves back, so the common pieces stay; at most twice KEEP are held.
+    """Piece to little-endian uint32 ids. When it holds KEEP pieces they become the older ones, and a piece met again moves
+    back, so the common pieces stay; at most twice KEEP are held. From then on a new piece is kept from its second sighting,
+    by a table of SEEN marks, so those that don't recur take no room.
 
     A new piece goes through the tokenizer's own normaliser, pre-tokenizer and model. A word of Latin letters with marks
     behind it, whose pre-tokens are that word and the marks, goes to the model directly.
@@ -52,19 +53,21 @@ class Memo(dict):
         self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
         self.normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
         self.older: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
+        self.marks: dict[str, bytes] = {}
         probe = [w for w, _ in self.cut(self.normal(" Ab,"))]
         #: What the model sees for " Ab": with the space, or lower-cased without it; None: some other scheme.
         self.head = {"\u0120Ab": LETTERS[32], "ab": ""}.get(probe[0]) if probe[1:] == [","] else None
 
     def pre_token(self, word: str) -> bytes:
-        known = self.inner.get(word)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def behind(self, marks: str) -> bytes:
+        known = self.marks.get(marks)
         if known is None:
-            known = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            if len(self.inner) >= KEEP:
-                self.inner.clear()
-            if len(word) <= 64:
-                self.inner[word] = known
+            known = self.pre_token(marks)
+            if len(marks) <= 2:  # as many as there are pairs of marks
+                self.marks[marks] = known
         return known
 
     def fresh(self, piece: str) -> bytes:
@@ -72,21 +75,27 @@ class Memo(dict):
             core = piece[1:].rstrip(MARKS)
             if core.isalpha() and max(core) < "\u0130":
                 marks = piece[1 + len(core) :]
+                if marks:
+                    return self[piece[: 1 + len(core)]] + self.behind(marks)
                 word = core if self.head else core.lower()
                 if not word.isascii():
                     word = word.encode().decode("latin-1").translate(LETTERS)
-                out = self.pre_token(self.head + word)
-                return out + self.pre_token(marks) if marks else out
+                return self.pre_token(self.head + word)
         return b"".join([self.pre_token(w) for w, _ in self.cut(self.normal(piece))])
 
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
             out = self.fresh(piece)
+            at = hash(piece) % SEEN
+            if self.older and not self.seen[at]:
+                self.seen[at] = 1
+                return out
         if len(piece) <= 64:
             if len(self) >= KEEP:
                 self.older = dict(self)
                 self.clear()
+                self.seen = bytearray(SEEN)
             self[piece] = out
         return out
 
