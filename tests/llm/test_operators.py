@@ -92,6 +92,21 @@ def test_wide_buckets_are_split(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def changed(words, at, tag):
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_copies_alike_to_their_base_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(600)]
+    rows = [(0, " ".join(changed(base, range(55, 540, 60), "hub"))), (500, " ".join(base))]  # the least id is no copy's likest
+    rng = np.random.default_rng(6)
+    rows += [(k, " ".join(changed(base, [i + rng.integers(0, 57) for i in range(0, 600, 60)], f"v{k}x"))) for k in range(1, 200)]
+    like = near_dedup.Likeness(3, 88, 100, 6, 21)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+    assert got == {k: c for k, (_, c) in shares(rows, 3, 88, 100).items()} and len(set(got.values())) == 1
+
+
 def repeats(texts, n):
     seen = Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1))
     out = []

@@ -8,7 +8,8 @@ most alike few, so edges grow with members and not with pairs. Every edge is con
 links; further rounds offer edges between the components still apart in a bucket, until a round links nothing new.
 
 Scale: sketches are a few hundred bytes a document; only members of shared buckets move on. A bucket above BLOCK members
-is split into blocks at random, differently in each band, with a star across its blocks. Joins are on unique right sides,
+is split into blocks at random, differently in each band, with a star across its blocks; later rounds cover the pairs of
+blocks, as far as components are still apart. Joins are on unique right sides,
 so skewed keys can be split; components are found by distributed min steps.
 
 Defined results: a null text, or one without words, has no shingles, links with nothing and is its own component; fewer
@@ -136,64 +137,68 @@ def sketch_table(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
-def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, hopeful: float, each: int) -> list[tuple[int, int]]:
-    """Candidate edges between components within one block.
+def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndarray, hopeful: float, each: int) -> list[tuple[int, int]]:
+    """Candidate edges between components within one block: stars, and the most alike few of each member that asks.
 
-    In the first round every member is its own component: stars, and each member's most alike few. Later a pair that is
-    still apart is offered by its side outside the block's largest component.
+    Members of role 0 are asked, those of role 1 ask and are asked, those of role 2 ask only.
+
+    A star's centre is the member likest, in sum, to those that ask and are in no star yet, so what they are all alike to
+    is found even if they aren't alike to each other.
     """
     n = len(ids)
     out: set[tuple[int, int]] = set()
     put = lambda i, j: out.add((int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i])))
     least = int(np.ceil(hopeful * sig.shape[1]))
-    kinds, kind, size = np.unique(comp, return_inverse=True, return_counts=True)
-    first = len(kinds) == n
-    ask = np.arange(n) if first else np.flatnonzero(kind != size.argmax())
-    cols = np.ascontiguousarray(sig.T)
-    degree = np.zeros(n, np.int64)
-    k = min(each, n - 1)
+    ask, near = np.flatnonzero(role > 0), np.flatnonzero(role < 2)
+    cols = np.ascontiguousarray(sig[near].T)
+    weight, left = np.zeros(len(near), np.int64), np.zeros(n, bool)
+    k = min(each, len(near))
     for a in range(0, len(ask), 256):
         mine = ask[a : a + 256]
-        same = np.zeros((len(mine), n), np.uint8)
-        for c in cols:
-            same += c[mine, None] == c[None, :]
-        same[comp[mine, None] == comp[None, :]] = 0
-        degree[mine] = (same >= least).sum(1)
-        top = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k]
+        same = np.zeros((len(mine), len(near)), np.uint8)
+        for c, own in zip(cols, sig[mine].T, strict=True):
+            same += own[:, None] == c[None, :]
+        same[comp[mine, None] == comp[None, near]] = 0
+        same[same < least] = 0
+        left[mine] = same.any(1)
+        weight += same.sum(0, dtype=np.int64)
+        top = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k] if k else np.zeros((len(mine), 0), int)
         for i, row in enumerate(top):
-            for j in row[same[i, row] >= least]:
-                put(mine[i], j)
-    left = degree > 0
-    while first and left.any():
-        centre = int(np.where(left, degree, -1).argmax())
-        same = (sig == sig[centre]).sum(1)
-        hit = left & (same >= least) & (comp != comp[centre])
-        for j in np.flatnonzero(hit):
-            put(centre, j)
-        left[centre] = False
-        left &= ~hit
+            for j in row[same[i, row] > 0]:
+                put(mine[i], near[j])
+    while left.any():
+        at = int(weight.argmax())
+        weight[at], centre = -1, near[at]
+        hit = left & ((sig == sig[centre]).sum(1) >= least) & (comp != comp[centre])
+        if hit.any():
+            for j in np.flatnonzero(hit):
+                put(centre, j)
+            left &= ~hit
+            left[centre] = False
     return list(out)
 
 
 def candidates(members: DataFrame, like: Likeness, each: int) -> DataFrame:
-    """Distinct edges (a, b), a < b, from members (bucket, block, id, comp, sig)."""
+    """Distinct edges (a, b), a < b, from members (bucket, block, part, id, comp, sig, role), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def starts(t: pa.Table) -> np.ndarray:
+            """Where a block begins, other than at 0."""
+            keys = [t[c].to_numpy() for c in ("bucket", "block", "part")]
+            return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+
         def edges(t: pa.Table) -> pa.RecordBatch:
-            bucket, block = t["bucket"].to_numpy(), t["block"].to_numpy()
-            ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
+            ids, comp, role = t["id"].to_numpy(), t["comp"].to_numpy(), t["role"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            new = np.ones(len(ids), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])
-            at = np.append(np.flatnonzero(new), len(ids))
+            at = np.concatenate([[0], starts(t), [len(ids)]])
             size = np.diff(at)
             two = at[:-1][size == 2]
             near = (sig[two] == sig[two + 1]).sum(1) >= like.hopeful * sig.shape[1]
             two = two[near & (comp[two] != comp[two + 1])]
             x, y = ids[two], ids[two + 1]
-            more = [e for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True) for e in star_edges(ids[a:b], comp[a:b], sig[a:b], like.hopeful, each)]
+            more = [e for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True) for e in star_edges(ids[a:b], comp[a:b], sig[a:b], role[a:b], like.hopeful, each)]
             m = np.array(sorted(set(more)), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(x, y), m[:, 0]])), pa.array(np.concatenate([np.maximum(x, y), m[:, 1]]))], ["a", "b"])
 
@@ -202,10 +207,9 @@ def candidates(members: DataFrame, like: Likeness, each: int) -> DataFrame:
                 continue
             held.append(batch)
             t = pa.Table.from_batches(held)
-            bucket, block = t["bucket"].to_numpy(), t["block"].to_numpy()
-            cut = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))
+            cut = starts(t)
             if len(cut):  # all but the last block are whole
-                n = int(cut[-1]) + 1
+                n = int(cut[-1])
                 yield edges(t.slice(0, n))
                 held = t.slice(n).to_batches()
         if held:
@@ -214,6 +218,25 @@ def candidates(members: DataFrame, like: Likeness, each: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long").distinct()
 
 
+def still_apart(dealt: DataFrame) -> DataFrame:
+    """Members (bucket, block, n, id, comp, sig) dealt for the rounds after the first: (bucket, block, part, id, comp, sig, role).
+
+    Of two components in a bucket one is not its largest, so the members outside that ask all others: every pair apart
+    meets. In a bucket above BLOCK members those that ask go in parts of about BLOCK to each of its blocks.
+    """
+    sizes = dealt.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top"))
+    apart = sizes.select("bucket", F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.m")).alias("few")).where("few > 0")
+    blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few") / BLOCK).cast("int")
+    asks = F.col("comp") != F.col("largest")
+    place = lambda block, part, role: F.struct(block.alias("block"), part.alias("part"), role.cast("int").alias("role"))
+    asked = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: place(F.col("block"), i, F.lit(0)))
+    mine = F.pmod(F.xxhash64("id", "bucket", F.lit("part")), parts).cast("int")
+    asking = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: place(j, mine, F.lit(2)))
+    places = F.when(F.col("n") <= BLOCK, F.array(place(F.col("block"), F.lit(0), asks))).when(asks, F.concat(asked, asking)).otherwise(asked)
+    spread = dealt.join(apart.hint("merge"), "bucket").select("bucket", "id", "comp", "sig", F.explode(places).alias("p"))
+    return spread.select("bucket", "p.block", "p.part", "id", "comp", "sig", "p.role")
+
+
 def confirm(edges: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The edges (a, b) whose full shingle sets are alike enough; texts (id, text) has unique ids."""
 
@@ -267,11 +290,12 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     comp = members.select("id").distinct().withColumn("comp", F.col("id"))
     each, found = 1, 1
     while found:
-        dealt = members.join(comp.hint("merge"), "id").select("bucket", "block", "id", "comp", "sig")
-        if tried is not None:  # only buckets in which components are still apart
-            apart = dealt.groupBy("bucket", "block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
-            dealt = dealt.join(apart.hint("merge"), ["bucket", "block"])
-        dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "id")
+        dealt = members.join(comp.hint("merge"), "id").select("bucket", "block", "n", "id", "comp", "sig")
+        if tried is None:
+            dealt = dealt.select("bucket", "block", F.lit(0).alias("part"), "id", "comp", "sig", F.lit(1).alias("role"))
+        else:
+            dealt = still_apart(dealt)
+        dealt = dealt.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "id")
         edges = candidates(dealt, like, each)
         edges = edges.unionByName(across).distinct() if tried is None else edges.join(tried, ["a", "b"], "left_anti")
         edges = materialise(edges, "edges")
