@@ -107,6 +107,28 @@ def test_copies_alike_to_their_base_only(spark, monkeypatch):
     assert got == {k: c for k, (_, c) in shares(rows, 3, 88, 100).items()} and len(set(got.values())) == 1
 
 
+def test_rejected_partners_do_not_hide_a_true_one():
+    rng = np.random.default_rng(7)
+    sig = np.tile(rng.integers(0, 256, 128).astype(np.uint8), (30, 1))
+    for i in range(30):  # member 0 is likest to those with few bins changed
+        sig[i, :i] += np.uint8(1)
+    offer = lambda each: near_dedup.star_edges(np.arange(30), np.arange(30), sig, np.where(np.arange(30) == 0, 1, 0), 0.75, each)
+    assert offer(8)[1] and not offer(64)[1] and {(0, j) for j in range(1, 30)} == set(offer(64)[0])
+
+
+def test_rounds_go_on_past_rejected_partners(spark):
+    base = [f"w{i}" for i in range(600)]
+    rng = np.random.default_rng(8)
+    # a family just too unlike, whose sketches look alike, and pairs within it that are alike enough
+    rows = [(k, " ".join(changed(base, [i + rng.integers(0, 26) for i in range(0, 580, 29)], f"v{k}x"))) for k in range(300)]
+    rows += [(1000 + k, " ".join(changed(t.split(), [4 + 50 * i for i in range(12)], f"u{k}x"))) for k, t in rows[:100]]
+    like = near_dedup.Likeness(3, 86, 100, 6, 21)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+    want = {k: c for k, (_, c) in shares(rows, 3, 86, 100).items()}
+    lost = [k for k in want if got[k] != want[k]]
+    assert not lost and 200 <= len(set(want.values())) <= 300
+
+
 def repeats(texts, n):
     seen = Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1))
     out = []

@@ -4,8 +4,9 @@ A document's shingles are hashed once; the upper bits choose one of BINS bins an
 bins copy a non-empty one that a fixed random sequence picks, the same for all documents (optimal densification). Rows of
 the sketch form banded buckets. Documents with equal shingle sets are one class, and one representative of it goes on. In
 a bucket, candidate edges are stars: around the members with most likely partners, and around every member towards its
-most alike few, so edges grow with members and not with pairs. Every edge is confirmed on full shingle sets before it
-links; further rounds offer edges between the components still apart in a bucket, until a round links nothing new.
+most alike few. Every edge is confirmed on full shingle sets before it links; further rounds offer edges between the
+components still apart in a bucket, from each member to eight times as many, until every pair of a bucket whose estimate
+is hopeful is in one component or tried. Edges grow with members, but with pairs in a family of texts just too unlike.
 
 Scale: sketches are a few hundred bytes a document; only members of shared buckets move on. A bucket above BLOCK members
 is split into blocks at random, differently in each band, with a star across its blocks; later rounds cover the pairs of
@@ -137,10 +138,10 @@ def sketch_table(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
-def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndarray, hopeful: float, each: int) -> list[tuple[int, int]]:
+def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndarray, hopeful: float, each: int) -> tuple[list[tuple[int, int]], bool]:
     """Candidate edges between components within one block: stars, and the most alike few of each member that asks.
 
-    Members of role 0 are asked, those of role 1 ask and are asked, those of role 2 ask only.
+    Also whether a member that asks has partners beyond those. Members of role 0 are asked, those of role 1 ask and are asked, those of role 2 ask only.
 
     A star's centre is the member likest, in sum, to those that ask and are in no star yet, so what they are all alike to
     is found even if they aren't alike to each other.
@@ -152,7 +153,7 @@ def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndar
     ask, near = np.flatnonzero(role > 0), np.flatnonzero(role < 2)
     cols = np.ascontiguousarray(sig[near].T)
     weight, left = np.zeros(len(near), np.int64), np.zeros(n, bool)
-    k = min(each, len(near))
+    k, more = min(each, len(near)), False
     for a in range(0, len(ask), 256):
         mine = ask[a : a + 256]
         same = np.zeros((len(mine), len(near)), np.uint8)
@@ -160,7 +161,9 @@ def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndar
             same += own[:, None] == c[None, :]
         same[comp[mine, None] == comp[None, near]] = 0
         same[same < least] = 0
-        left[mine] = same.any(1)
+        degree = (same > 0).sum(1)
+        left[mine] = degree > 0
+        more |= bool((degree > k).any())
         weight += same.sum(0, dtype=np.int64)
         top = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k] if k else np.zeros((len(mine), 0), int)
         for i, row in enumerate(top):
@@ -175,11 +178,11 @@ def star_edges(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, role: np.ndar
                 put(centre, j)
             left &= ~hit
             left[centre] = False
-    return list(out)
+    return list(out), more
 
 
 def candidates(members: DataFrame, like: Likeness, each: int) -> DataFrame:
-    """Distinct edges (a, b), a < b, from members (bucket, block, part, id, comp, sig, role), sorted."""
+    """Distinct edges (a, b), a < b, and a row of nulls where pairs of likely partners were not offered, from members (bucket, block, part, id, comp, sig, role), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -198,9 +201,11 @@ def candidates(members: DataFrame, like: Likeness, each: int) -> DataFrame:
             near = (sig[two] == sig[two + 1]).sum(1) >= like.hopeful * sig.shape[1]
             two = two[near & (comp[two] != comp[two + 1])]
             x, y = ids[two], ids[two + 1]
-            more = [e for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True) for e in star_edges(ids[a:b], comp[a:b], sig[a:b], role[a:b], like.hopeful, each)]
-            m = np.array(sorted(set(more)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(x, y), m[:, 0]])), pa.array(np.concatenate([np.maximum(x, y), m[:, 1]]))], ["a", "b"])
+            stars = [star_edges(ids[a:b], comp[a:b], sig[a:b], role[a:b], like.hopeful, each) for a, b in zip(at[:-1][size > 2], at[1:][size > 2], strict=True)]
+            m = np.array(sorted({e for some, _ in stars for e in some}), np.int64).reshape(-1, 2)
+            rest = pa.nulls(int(any(more for _, more in stars)), pa.int64())
+            a, b = np.concatenate([np.minimum(x, y), m[:, 0]]), np.concatenate([np.maximum(x, y), m[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), rest]), pa.concat_arrays([pa.array(b), rest])], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -288,8 +293,8 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     links = None
     tried = None
     comp = members.select("id").distinct().withColumn("comp", F.col("id"))
-    each, found = 1, 1
-    while found:
+    each, more = 1, True
+    while more:
         dealt = members.join(comp.hint("merge"), "id").select("bucket", "block", "n", "id", "comp", "sig")
         if tried is None:
             dealt = dealt.select("bucket", "block", F.lit(0).alias("part"), "id", "comp", "sig", F.lit(1).alias("role"))
@@ -299,14 +304,15 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         edges = candidates(dealt, like, each)
         edges = edges.unionByName(across).distinct() if tried is None else edges.join(tried, ["a", "b"], "left_anti")
         edges = materialise(edges, "edges")
+        more = tried is None or not edges.where("a is null").isEmpty()  # the first round covers no pairs of blocks
+        edges = edges.where("a is not null")
         new = materialise(confirm(edges, texts, like), "links")
-        found = new.count()
         links = new if links is None else links.unionByName(new)
         tried = edges if tried is None else tried.unionByName(edges)
-        if found:
+        if not new.isEmpty():
             known = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
             comp = members.select("id").distinct().join(known, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
-            each = 8
+        each *= 8
     reached = classes.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(reached, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
