@@ -353,6 +353,13 @@ def test_pii(odd):
     assert out.columns == odd.columns and out.count() == len(ODD)
 
 
+@pytest.mark.parametrize("at", ["(at)", "[AT]", "{at}", " at ", "@"])
+@pytest.mark.parametrize("dot", ["(dot)", "[dot]", "{Dot}", " dot "])
+def test_mixed_disguises_are_proposed(at, dot):
+    text = f"write to joe{at}site{dot}com, please"
+    assert ("email_alt", 9, text.index(",")) in pii.candidates(text)
+
+
 def test_base_spans_equal_the_patterns(docs):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

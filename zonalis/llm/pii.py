@@ -42,8 +42,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
+#: Disguises of the at sign and of dots; the first look at a text follows from them as the pattern does.
+AT, DOT = ("(at)", "[at]", "{at}", " at ", "@"), ("(dot)", "[dot]", "{dot}", " dot ")
+ANY_AT, ANY_DOT = ("|".join(map(re.escape, forms)) for forms in (AT, DOT))
+
 GENERATORS = {
-    "email_alt": re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z]{2,10})+", re.I),
+    "email_alt": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._+-]{{0,63}} ?(?:{ANY_AT}) ?[A-Za-z0-9-]{{2,63}}(?: ?(?:{ANY_DOT}) ?[A-Za-z]{{2,10}})+", re.I),
     "phone_alt": re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
     "id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
@@ -95,11 +99,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
-    digits = DIGIT.search(text)
+    digits, low = DIGIT.search(text), text.lower()
     for kind, pattern in GENERATORS.items():
         if kind in ("phone_alt", "id", "iban") and not digits:
             continue
-        if kind == "email_alt" and not ("(at)" in (low := text.lower()) or "[at]" in low or "{at}" in low or " at " in low and " dot " in low or "@" in low and "dot" in low):
+        if kind == "email_alt" and not (any(x in low for x in DOT) and any(x in low for x in AT)):
             continue
         if kind == "secret" and "=" not in text and ":" not in text and '"' not in text and "'" not in text:
             continue
