@@ -360,6 +360,15 @@ def test_mixed_disguises_are_proposed(at, dot):
     assert ("email_alt", 9, text.index(",")) in pii.candidates(text)
 
 
+def test_long_secrets():
+    rng = np.random.default_rng(9)
+    for n in (40, 128, 129, 150, 1000, 4000):
+        key = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789"), n))
+        assert ("secret", 6, 6 + n) in pii.candidates(f"token={key} end")
+        assert key not in pii.redacted(f"token={key} end", pii.train())
+    assert ("secret", 6, 307) in pii.candidates("token=" + "a1" * 75 + "-" + "b2" * 75 + " end")
+
+
 def test_base_spans_equal_the_patterns(docs):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -51,7 +51,7 @@ GENERATORS = {
     "phone_alt": re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
     "id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?:(?<=[=:] )|(?<=[=:])|(?<=[\"']))[\"']?[A-Za-z0-9_/+-]{16,128}={0,2}(?![A-Za-z0-9_/+])"),
+    "secret": re.compile(r"(?:(?<=[=:] )|(?<=[=:])|(?<=[\"']))[\"']?[A-Za-z0-9_/+-]{16,}={0,2}(?![A-Za-z0-9_/+])"),
 }
 CUES = {
     "email": ("mail", "contact", "write", "reach"), "phone": ("phone", "tel", "call", "fax", "mobile", "cell"), "id": ("ssn", "social", "security", "passport", "identity"),
