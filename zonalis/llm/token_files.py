@@ -2,8 +2,9 @@
 
 Documents are range-partitioned and sorted by doc_id. Every task encodes its documents and writes shards of at most
 SHARD_IDS ids (one longer document makes a longer shard), one binary value each, in a table in the shared folder: files
-reach any store Spark reaches, and a retried task leaves no half-written shard. Offsets inside a shard come from the
-Elias-Fano select structure; a shard holds its place within its partition, and one row per partition (bounded by
+reach any store Spark reaches, and a retried task leaves no half-written shard. Offsets inside a shard come from its
+Elias-Fano code: the query reads every document and decodes all boundaries at once; select(), stored with samples in
+every shard, is for readers of single documents and not used by the query. A shard holds its place within its partition, and one row per partition (bounded by
 spark.sql.shuffle.partitions) places the partitions.
 
 Defined results: a null text is empty and yields the end id alone; null doc_ids come first; repeated doc_ids stay
