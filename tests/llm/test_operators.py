@@ -227,32 +227,47 @@ def test_longest_common_subsequence():
         assert len(html_extract.shared(a, b)) == best[12][10]
 
 
+#: Texts around every rule by which texts are cut, and the strings of added tokens.
+HARD = ["a  b   c \n d\t \n e", "it's  we'll\x1c !\x1c! <|endoftext|> ok", "\r\n\r\n b", "é ́a 　 x", "a <|endoftext|> b", "x.<|startoftext|><|endoftext|>  y <|endoftext|", "<|EndOfText|>", "1st, 2nd; \"q\": (r)! s?\n\nT.\nU\n v", "\xa0 a\xa0 b\u2003 c\u3000 d\u1680 e\x85 g\u202f h\u205f i", "été, où; ×! ÷, ñ? ’, K., İ. ǅ, ﬁ,", " ", ".\n", "\n", "\x7f x \x1f y", "don't. 'tis, they're!", "e\u0301, o\u0308.\nA"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memoised_encoding(docs, name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     m = memo(public_tokenizers.path(name))
-    for text in [t_ or "" for t_ in ODD] + ["a  b   c \n d\t \n e", "it's  we'll\x1c !\x1c! <|endoftext|> ok", "\r\n\r\n b", "é ́a 　 x"] + [r.text for r in docs.limit(60).collect()]:
-        assert m.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = np.random.default_rng(11)
+    noise = ["".join(rng.choice(list("aB9é ×. ,\n\t'!\xa0\u3000<|\"ß"), 60)) for _ in range(400)]
+    texts = [t_ or "" for t_ in ODD] + HARD + noise + [r.text for r in docs.limit(100).collect()]
+    for text, got in zip(texts, m.encode_column(pa.array(texts), 2), strict=True):
+        assert got.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert m.encode(text) == got[:-1].tobytes()
 
 
 def test_memo_forgets(docs, monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 40)
+    monkeypatch.setattr(tokens, "CHUNK", 1000)
+    monkeypatch.setattr(tokens, "PIECES", 7)
     path = public_tokenizers.path("word_bpe_49k.json")
     small, t = Memo(path), Tokenizer.from_file(path)
-    for text in [r.text for r in docs.limit(20).collect()] * 2:
-        assert small.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [r.text for r in docs.limit(20).collect()] * 2
+    for text, got in zip(texts, small.encode_column(pa.array(texts), 9), strict=True):
+        assert got.tolist() == [*t.encode(text, add_special_tokens=False).ids, 9]
     assert len(small) <= 40 and len(small.older) == 40
 
 
 def expected_ids(name, rows):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {k: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for k, x in rows}
 
 
-def test_token_files(odd, docs, monkeypatch):
-    every = docs.select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 20_000, "text").toDF("doc_id", "text"))
+@pytest.fixture(scope="module")
+def every(spark, docs, odd):
+    hard = spark.createDataFrame([(30_000 + i, t) for i, t in enumerate(HARD)], "doc_id long, text string")
+    return docs.select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 20_000, "text").toDF("doc_id", "text")).unionByName(hard)
+
+
+def test_token_files(every, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE", 4)
     ids = expected_ids("byte_bpe_50k.json", [tuple(r) for r in every.collect()])
     shards = token_files.write_token_files(every, public_tokenizers.path("byte_bpe_50k.json"), shard_ids=5000)
     got = token_files.read_token_files(shards).orderBy("doc_id").collect()
@@ -260,22 +275,34 @@ def test_token_files(odd, docs, monkeypatch):
     for r, k in zip(got, sorted(ids), strict=True):
         assert tuple(r) == (k, at, len(ids[k]), zlib.crc32(ids[k].tobytes()))
         at += len(ids[k])
+    shard = token_files.Shard.of(shards.orderBy("part", "shard").first().content)
+    assert all((shard.document(i) == ids[shard.doc_ids(i, i + 1)[0]]).all() for i in range(len(shard)))
     assert token_files.read_token_files(token_files.write_token_files(every.limit(0), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_token_files_of_repeated_and_null_ids(spark):
+    rows = [(None, "b c"), (None, None), (None, "b c"), (7, "x"), (7, "y z"), (7, "x"), (-3, "")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path)).orderBy("start").collect()
+    t = Tokenizer.from_file(path)
+    want = Counter((k, zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for k, x in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want and [r.doc_id for r in got] == [None] * 3 + [-3] + [7] * 3
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 1), (1, 10**12), (1000, 50), (3000, 10**9)):
         v = np.sort(rng.integers(0, top, n))
         e, at = token_files.EliasFano.loads(b"x" + token_files.EliasFano.of(v).dumps(), 1)
-        assert (e.all() == v).all() and all(e.select(i) == v[i] for i in range(0, n, 37))
+        assert (e.between(0, n) == v).all() and all(e.select(i) == v[i] for i in range(0, n, 37)) and (e.between(n // 3, n // 2) == v[n // 3 : n // 2]).all()
     assert len(token_files.EliasFano.of(np.sort(rng.integers(0, 10**9, 3000))).dumps()) < 3000 * 3
 
 
-def test_packing(odd, docs):
-    every = docs.select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 20_000, "text").toDF("doc_id", "text"))
+@pytest.mark.parametrize("group", [packing.GROUP_TOKENS, 10_000])
+def test_packing(every, group):
     ids = expected_ids("word_bpe_49k.json", [tuple(r) for r in every.collect()])
-    got = packing.pack_documents(every, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    got = packing.pack_documents(every, public_tokenizers.path("word_bpe_49k.json"), group=group).toPandas()
     for k, g in got.groupby("doc_id"):
         g = g.sort_values("start")
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids[k]) == g.doc_tokens.iloc[0]
@@ -287,6 +314,14 @@ def test_packing(odd, docs):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and n <= 4096 and n & (n - 1) == 0
 
 
+def test_packing_lays_out_the_solved_combinations():
+    """Lengths that only fit in known combinations: every window is whole, and no piece is cut."""
+    pieces = [(k, 0, n) for k, n in enumerate([3072, 1024] * 40 + [2048] * 60 + [1536, 1536, 1024] * 20)]
+    done, spare = packing.pack(pieces)
+    assert not spare and len(done) == 40 + 30 + 20 and all(sum(p[2] for p in s) == 4096 for s in done)
+    assert sorted(p for s in done for p in s) == sorted(pieces)
+
+
 def test_nnls_and_combinations():
     combos, a = packing.combinations(8, 3)
     assert sorted(combos) == sorted({tuple(sorted(c, reverse=True)) for c in [(8,), *((i, 8 - i) for i in range(1, 8)), *((i, j, 8 - i - j) for i in range(1, 7) for j in range(1, 8 - i))]})

@@ -1,6 +1,6 @@
 """Operator 4: sequence packing by non-negative least squares over shallow length combinations.
 
-Each task streams its documents, encodes them and packs buffers of GROUP_TOKENS ids; nothing is shuffled or collected,
+Each task streams its documents, encodes them and packs buffers of GROUP_TOKENS (`group`) ids; nothing is shuffled or collected,
 and memory is bounded by a buffer and the longest document. Per buffer: documents of a window or more give whole windows;
 the other pieces are counted in bins of QUANTUM ids; all combinations of at most DEPTH bins that fill the window are the
 columns of a non-negative least-squares fit to that histogram; its rounded solution is laid out with real pieces; the
@@ -14,7 +14,6 @@ bits); offsets in a sequence run from 0 without gaps.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -148,14 +147,14 @@ def tail(spare: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, window: int = WINDOW, group: int = GROUP_TOKENS) -> DataFrame:
     """One row per piece of docs (doc_id, text); see the module."""
     if window & (window - 1) or window < QUANTUM:
         raise ValueError("the window must be a power of two, 64 at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        m, last = memo(tokenizer), struct.pack("<I", end)
+        m = memo(tokenizer)
         number = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[int | None, bytes]] = {}
         pieces: list[Piece] = []
@@ -175,12 +174,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, window: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = m.encode(text.as_py() or "") + last
-                held[count] = key, ids
-                pieces.append((count, 0, len(ids) // 4))
-                count, tokens = count + 1, tokens + len(ids) // 4
-                if tokens >= GROUP_TOKENS:
+            for key, x in zip(batch.column(0).to_pylist(), m.encode_column(batch.column(1), end), strict=True):
+                held[count] = key, x.tobytes()
+                pieces.append((count, 0, len(x)))
+                count, tokens = count + 1, tokens + len(x)
+                if tokens >= group:
                     sequences, spare = pack(pieces, window)
                     yield rows(sequences)
                     pieces, held = list(spare), {p[0]: held[p[0]] for p in spare}

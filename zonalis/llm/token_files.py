@@ -1,11 +1,12 @@
 """Operator 8: token-id files, a concatenated id array with Elias-Fano coded document boundaries.
 
-Documents are range-partitioned and sorted by doc_id. Every task encodes its documents and writes shards of at most
-SHARD_IDS ids (one longer document makes a longer shard), one binary value each, in a table in the shared folder: files
-reach any store Spark reaches, and a retried task leaves no half-written shard. Offsets inside a shard come from its
-Elias-Fano code: the query reads every document and decodes all boundaries at once; select(), stored with samples in
-every shard, is for readers of single documents and not used by the query. A shard holds its place within its partition, and one row per partition (bounded by
-spark.sql.shuffle.partitions) places the partitions.
+Documents are range-partitioned and sorted by doc_id and a hash of the text, so a repeated or null doc_id is spread too;
+partitions follow the input's bytes as the plan estimates them. Every task encodes its documents and writes shards of at
+most SHARD_IDS ids (one longer document makes a longer shard), one binary value each, in a table in the shared folder:
+files reach any store Spark reaches, and a retried task leaves no half-written shard. Offsets inside a shard are selected
+from its Elias-Fano code: the bits between two of its samples (every SAMPLE documents) give the boundaries in between, so
+a reader goes through a shard in steps and never holds a table of all offsets. A shard holds its place within its
+partition, and one row per partition (at most 100,000, or spark.sql.shuffle.partitions) places the partitions.
 
 Defined results: a null text is empty and yields the end id alone; null doc_ids come first; repeated doc_ids stay
 separate documents, ordered by a hash of their text; an empty table yields no shard and no row; columns other than
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, table
 from .tokens import memo
 
-SHARD_IDS = 1 << 20
+SHARD_IDS, PARTITION = 1 << 20, 1 << 27
 END = 2
 SAMPLE = 256
 MAGIC = b"ZEF1"
@@ -63,20 +64,21 @@ class EliasFano:
         bit = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 :][: b - a].reshape(-1, self.bits)
         return (bit.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The values numbered first to last - 1, from the bits between the samples around them only."""
+        block, stop = first // SAMPLE, -(-last // SAMPLE)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        at = int(self.samples[block])
+        end = int(self.samples[stop]) if stop < len(self.samples) else len(self.high) * 8
+        byte = at // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (end + 7) // 8], bitorder="little")[at % 8 :]) + at
+        number = np.arange(first, last)
+        return ((ones[number - block * SAMPLE] - number).astype(np.uint64) << np.uint64(self.bits) | self._lows(first, last)).astype(np.int64)
+
     def select(self, i: int) -> int:
-        """The i-th value, from the bits after the nearest sample only."""
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at // 8
-        skip = at % 8
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 64], bitorder="little")[skip:])
-            if left < len(ones):
-                return ((byte * 8 + skip + int(ones[left]) - i) << self.bits) | int(self._lows(i, i + 1)[0])
-            left, byte, skip = left - len(ones), byte + 64, 0
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits) | self._lows(0, self.n)).astype(np.int64)
+        """The i-th value."""
+        return int(self.between(i, i + 1)[0])
 
     def dumps(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.bits, len(self.low), len(self.high), len(self.samples))
@@ -93,25 +95,46 @@ class EliasFano:
         return cls(n, bits, *parts), at
 
 
-def write_shard(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """doc_ids ascending with nulls first; ids: little-endian uint32 of each document."""
+def write_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """doc_ids ascending with nulls first; ids of each document, all of one unsigned type of two or four bytes."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(known[0]) if len(known) else 0
     keys = EliasFano.of((known - least).astype(np.uint64))
-    ends = EliasFano.of(np.cumsum([0, *(len(x) // 4 for x in ids)]))
-    body = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
-    return MAGIC + struct.pack("<BQq", width, len(doc_ids) - len(known), least) + keys.dumps() + ends.dumps() + body
+    ends = EliasFano.of(np.cumsum([0, *map(len, ids)]))
+    body = np.concatenate(ids)
+    return MAGIC + struct.pack("<BQq", body.itemsize, len(doc_ids) - len(known), least) + keys.dumps() + ends.dumps() + body.tobytes()
+
+
+@dataclass
+class Shard:
+    """A shard as it is stored: document keys and boundaries stay Elias-Fano coded, ids stay in their array."""
+
+    nulls: int
+    least: int
+    keys: EliasFano
+    ends: EliasFano
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        if data[:4] != MAGIC:
+            raise ValueError("not a token shard")
+        width, nulls, least = struct.unpack_from("<BQq", data, 4)
+        keys, at = EliasFano.loads(data, 4 + struct.calcsize("<BQq"))
+        ends, at = EliasFano.loads(data, at)
+        return cls(nulls, least, keys, ends, np.frombuffer(data, f"<u{width}", -1, at))
+
+    def __len__(self) -> int:
+        return self.ends.n - 1
 
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        known = self.keys.between(max(0, first - self.nulls), max(0, last - self.nulls)) + self.least
+        return [None] * (min(last, self.nulls) - min(first, self.nulls)) + known.tolist()
 
-def read_shard(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """doc_ids, document boundaries and the id array of a shard."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    width, nulls, least = struct.unpack_from("<BQq", data, 4)
-    keys, at = EliasFano.loads(data, 4 + struct.calcsize("<BQq"))
-    ends, at = EliasFano.loads(data, at)
-    docs = [None] * nulls + (keys.all() + least).tolist()
-    return docs, ends, np.frombuffer(data, f"<u{width}", -1, at)
+    def document(self, i: int) -> np.ndarray:
+        """Ids of the i-th document, found by select."""
+        a, b = self.ends.between(i, i + 2)
+        return self.ids[a:b]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -120,30 +143,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = END, shard_ids
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, part = memo(tokenizer), TaskContext.get().partitionId()
         width = 2 if m.model_size <= 1 << 16 and end < 1 << 16 else 4
-        last = struct.pack("<I", end)
         keys: list[int | None] = []
-        rows: list[bytes] = []
+        rows: list[np.ndarray] = []
         size = base = shard = 0
 
         def flush() -> pa.RecordBatch:
-            out = {"part": [part], "shard": [shard], "base": [base], "n_docs": [len(keys)], "n_ids": [size], "content": [write_shard(keys, rows, width)]}
+            out = {"part": [part], "shard": [shard], "base": [base], "n_docs": [len(keys)], "n_ids": [size], "content": [write_shard(keys, rows)]}
             return pa.RecordBatch.from_pydict(out, schema=SHARDS)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = m.encode(text.as_py() or "") + last
-                if rows and size + len(x) // 4 > shard_ids:
+            for key, x in zip(batch.column(0).to_pylist(), m.encode_column(batch.column(1), end), strict=True):
+                if rows and size + len(x) > shard_ids:
                     yield flush()
                     base, shard, size, keys, rows = base + size, shard + 1, 0, [], []
                 keys.append(key)
-                rows.append(x)
-                size += len(x) // 4
+                rows.append(x.astype(f"<u{width}"))
+                size += len(x)
         if rows:
             yield flush()
 
     SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs), F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the plan's estimate; no job
+    most = max(partitions(docs), min(-(-known // PARTITION), 100_000)) if known < 1 << 60 else partitions(docs)
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(most, *order).sortWithinPartitions(*order)
     return materialise(dealt.mapInArrow(write, "part int, shard int, base long, n_docs long, n_ids long, content binary"), "token-files")
 
 
@@ -152,11 +175,13 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, ends, ids = read_shard(content.as_py())
-                at = ends.all()
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at[:-1] + first), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for before, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = Shard.of(content.as_py())
+                for first in range(0, len(shard), 16 * SAMPLE):
+                    last = min(first + 16 * SAMPLE, len(shard))
+                    at = shard.ends.between(first, last + 1)
+                    crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(first, last), pa.int64()), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per partition
     places = [(r["part"], r["n"]) for r in parts.orderBy("part").collect()]
