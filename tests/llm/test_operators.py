@@ -112,8 +112,36 @@ def test_rejected_partners_do_not_hide_a_true_one():
     sig = np.tile(rng.integers(0, 256, 128).astype(np.uint8), (30, 1))
     for i in range(30):  # member 0 is likest to those with few bins changed
         sig[i, :i] += np.uint8(1)
-    offer = lambda each: near_dedup.star_edges(np.arange(30), np.arange(30), sig, np.where(np.arange(30) == 0, 1, 0), 0.75, each)
-    assert offer(8)[1] and not offer(64)[1] and {(0, j) for j in range(1, 30)} == set(offer(64)[0])
+    role = np.where(np.arange(30) == 0, 1, 0)
+    assert near_dedup.star_edges(np.arange(30), sig, role, 0.75, 8)[1]
+    bands = np.arange(60).reshape(30, 2)
+    bands[:, 1] = 99
+    assert {tuple(e) for e in near_dedup.all_edges(np.arange(30), sig, role, bands, 99, 0.75)} == {(0, j) for j in range(1, 30)}
+    bands[[0, 4], 0] = 7  # this pair met in the first band's bucket
+    assert (0, 4) not in {tuple(e) for e in near_dedup.all_edges(np.arange(30), sig, role, bands, 99, 0.75)}
+
+
+@pytest.mark.parametrize(("words", "changes", "block"), [(300, 6, 64), (16, 1, 4096)])
+def test_templates_lose_no_link(spark, monkeypatch, words, changes, block):
+    """Families whose pairs are mostly just too unlike: every true link among them is found, in a split bucket too."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(words + changes)
+    base, rows = [f"w{i}" for i in range(words)], []
+    for k in range(250):
+        at = set(rng.choice(words, changes, replace=False).tolist())
+        rows.append((k, " ".join(changed(base, at, f"v{rng.integers(0, 30)}x"))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Likeness(3, 85, 100, 6, 21)).collect()}
+    assert got == shares(rows, 3, 85, 100)
+
+
+def test_repeated_and_null_ids_are_judged_by_their_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " tail"), (8, b + " tail"), (None, a), (None, None), (None, "")] + [(5, a)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter({(5, 5, True): 5, (7, 5, False): 1, (8, 5, False): 1, (None, None, False): 3})
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert kept == Counter({(5, a): 1, (5, b): 1, (None, a): 1, (None, None): 1, (None, ""): 1})
 
 
 def test_rounds_go_on_past_rejected_partners(spark):
@@ -177,6 +205,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, x), (5, y), (7, [1.0, 0.05, 0.0]), (8, [0.05, 1.0, 0.0]), (None, x), (9, [0.0, 0.0, 1.0])]
+    for kind in ("float", "double"):
+        got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+        assert got == Counter({(5, 1, 5, True): 2, (7, 1, 5, False): 1, (8, 1, 5, False): 1, (None, 0, None, False): 1, (9, 0, 9, True): 1})
+
+
 def test_tables_reach_recall():
     for n in (10, 10**4, 10**9):
         bits, tables = embedding_dedup.tables_for(n)
@@ -358,14 +394,34 @@ def test_matroska(spark, odd):
 
 
 def test_mixing(spark, odd):
-    rows = [(i, " ".join(["w"] * (1 + i % 7)), ["en", "fr"][i % 2], f"s{i % 5}", None) for i in range(400)] + [(i, "w w w", "en", "hot", None) for i in range(400, 1000)]
-    docs = mixing.with_domain(spark.createDataFrame(rows, DOC))
-    got = mixing.mix_sources(docs, total=1500).toPandas()
-    n = got.text.str.split().str.len()
-    supply = docs.toPandas()
-    assert (got.groupby("doc_id").epoch.max() + 1 <= 2).all()
-    assert 1500 <= n.sum() <= 1500 + 8 * supply.groupby(["domain", "lang", "source"]).ngroups
-    assert len(mixing.mix_sources(mixing.with_domain(odd)).columns) == len(mixing.with_domain(odd).columns) + 1
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), ["en", "fr"][i % 2], f"s{i % 5}", None) for i in range(400)] + [(i, "w w w", "en", "hot", None) for i in range(400, 1000)] + [(None, None, None, None, 1), (3, "w w w w", "fr", "s3", None)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({"domain": F.lit("own"), "_key": F.lit(1), "epoch": F.lit("e"), "_cut": F.lit(2)})
+    keyed = docs.select("*", mixing.domain_of(F.col("source")).alias("d"), *(mixing.epoch_key(F.xxhash64("doc_id", "text"), F.lit(k), 17).alias(f"k{k}") for k in range(3))).toPandas()
+    for total in (1500, 4000, 10**6):
+        got = mixing.mix_sources(docs, total=total, names=("tree", "round"))
+        assert got.columns == [*docs.columns, "tree", "round"] and {r.domain for r in got.collect()} == {"own"}
+        # by brute force: whole epochs, then the shortest prefix in the order of the last epoch that reaches the budget
+        keyed["n"] = [len(words(t)) for t in keyed.text]
+        keyed["leaf"] = [tuple("\0" if x is None else x for x in r) for r in zip(keyed.d, keyed.lang, keyed.source, strict=True)]
+        supply = keyed.groupby("leaf").n.sum().to_dict()
+        sums = Counter()
+        for leaf, n in supply.items():
+            for k in (1, 2, 3):
+                sums[leaf[:k]] += n
+        budgets = mixing.plan(supply, {p: n**0.7 for p, n in sums.items()}, total, 2)
+        want = Counter()
+        for leaf, g in keyed.groupby("leaf"):
+            whole, rest = int(budgets[leaf] // supply[leaf]) if supply[leaf] else 0, budgets[leaf]
+            rest -= whole * supply[leaf]
+            g = g.sort_values(f"k{whole}")
+            before = g.groupby(f"k{whole}").n.sum().cumsum().shift(fill_value=0)
+            for r in g.itertuples():
+                times = whole + (rest > 0.5 and before[getattr(r, f"k{whole}")] < rest)
+                want.update({(r.doc_id, r.text, e): 1 for e in range(times)})
+        assert Counter((r.doc_id, r.text, r.round) for r in got.collect()) == +Counter({(None if k[0] != k[0] else k[0], *k[1:]): n for k, n in want.items()})
+    first, second = ({r.doc_id for r in docs.select("doc_id", mixing.epoch_key(F.xxhash64("doc_id", "text"), F.lit(e), 17).alias("k")).orderBy("k").limit(100).collect()} for e in (0, 1))
+    assert first != second
+    assert mixing.mix_sources(odd).columns == odd.columns
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
@@ -435,8 +491,9 @@ def test_toxicity(spark, odd):
     held = rows[rows.held]
     p = held.score >= 0.5
     assert (p & (held.toxic == 1)).sum() >= 0.6 * held.toxic.sum() and (p & (held.toxic == 0)).sum() <= 1
-    out = toxicity.with_score(odd.drop("score"), model)
-    assert out.count() == len(ODD) and out.where("score between 0 and 1").count() == len(ODD)
+    out = toxicity.accepted(odd, model)
+    assert out.columns == odd.columns and out.count() == len(ODD)
+    assert toxicity.score(odd, model).where("score between 0 and 1").count() == len(ODD)
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
 

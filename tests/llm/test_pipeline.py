@@ -24,6 +24,22 @@ def test_stages(spark):
     assert after.groupBy("doc_id", "doc_tokens").count().select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def test_clashing_names_and_repeated_ids(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    more = {c: F.lit(k) for k, c in enumerate(("score", "_key", "domain", "epoch", "id", "group", "own_id", "_domain", "digest", "bands", "n", "Text_Key"))}
+    a, b = "alpha beta gamma delta epsilon zeta eta", "some other words that are not like these at all"
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (None, a, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, kind).withColumns(more)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert {(r.score, r._key, r.domain) for r in out.collect()} == {(0, 1, 2)}
+        if name == "near_duplicates":
+            assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([("1", a), ("1", b), ("None", a), ("2", "None"), ("3", "")])
+    assert corpus_pipeline.pack(spark, docs, sf).agg(F.count_if(F.col("start") == 0)).first()[0] == len(rows)
+
+
 def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))

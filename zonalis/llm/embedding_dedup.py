@@ -1,15 +1,20 @@
 """Operator 10: near-duplicate vectors by random-hyperplane sign hashing in several tables.
 
-Identical vectors are one class with a weight. In every table a class falls into the bucket of its sign bits; bits grow
-with the logarithm of the number of classes, and tables with them, so that a pair at the threshold is missed by all tables
-with probability MISS at most. Within a bucket all pairs are compared by exact cosines in double precision, in blocks of
-BLOCK rows: a larger bucket is dealt out as pairs of blocks over many tasks. A pair counts in the first table it shares
-only. What leaves a block is a row per vector (links counted, one edge to the least vector it reaches in the block), never
-a pair; distributed connected components join these edges.
+Identical vectors are one class with a weight, known by a 128-bit digest. In every table a class falls into the bucket of
+its sign bits; bits grow with the logarithm of the number of classes, and tables with them, so that a pair at the threshold
+is missed by all tables with probability MISS at most. Within a bucket all pairs are compared by exact cosines in double
+precision, in blocks of BLOCK rows: a larger bucket is dealt out as pairs of blocks over many tasks. A pair counts in the
+first table it shares only; a class carries its sign bits, computed once, so all tables agree on that. What leaves a block
+is a row per vector (links counted, one edge to the least vector it reaches in the block), never a pair; distributed
+connected components join these edges.
+
+Scale: every table shuffles the vectors that share a bucket once, single precision staying single; with some 10**9 vectors
+that is up to a hundred times the table, the price of comparing by hashing without candidate lists.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components link with nothing (0 links,
-own component); vectors of different length never link; rows that repeat a vec_id are separate vectors under one id; a
-null vec_id links with nothing and has null component; an empty table gives no rows; other columns are ignored.
+own component); vectors of different length never link; rows that repeat a vec_id are separate vectors under one id, and
+each links by its own components; a null vec_id links with nothing and has null component; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .components import connected_components
 
 COSINE, MISS, BLOCK, FILL, SEED = 0.95, 0.001, 1024, 32, 11
@@ -60,30 +65,29 @@ def reach(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_blocks(dealt: DataFrame, cosine: float, bits: int, tables: int) -> DataFrame:
-    """(id, n, low) from rows (dim, number, bucket, i, j, side, id, weight, embedding), sorted by block."""
+def compare_blocks(dealt: DataFrame, cosine: float) -> DataFrame:
+    """(id, n, low) from rows (dim, number, bucket, i, j, side, id, weight, keys, embedding), sorted by block, then id."""
 
-    def block(t: pa.Table) -> tuple[np.ndarray, ...] | None:
+    def block(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array] | None:
         k = int(t["number"][0].as_py())
-        ids, weight, side = (t[c].to_numpy() for c in ("id", "weight", "side"))
+        ids, weight, side = t["id"].combine_chunks(), t["weight"].to_numpy(), t["side"].to_numpy()
         x = vectors(t["embedding"].combine_chunks())
         near = x @ x.T >= cosine
+        near |= near.T
         np.fill_diagonal(near, False)
         if t["i"][0].as_py() != t["j"][0].as_py():
             near &= side[:, None] != side[None, :]
         if not near.any():
             return None
-        label = reach(near)
-        if k:
-            rows = np.flatnonzero(near.any(1))
-            near = near[np.ix_(rows, rows)]
-            key = signs(x[rows], bits, tables)
-            for s in range(k):
-                near &= key[:, s][:, None] != key[:, s][None, :]
-            ids_r, label_r = ids[rows], label[rows]
-            return ids_r, near @ weight[rows], ids[label_r]
+        low = ids.take(pa.array(reach(near)))  # rows are in the order of their ids
         rows = np.flatnonzero(near.any(1))
-        return ids[rows], (near @ weight)[rows], ids[label[rows]]
+        near = near[np.ix_(rows, rows)]
+        if k:  # pairs that met in an earlier table are counted there
+            keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)[rows]
+            for s in range(k):
+                near &= keys[:, s][:, None] != keys[:, s][None, :]
+        at = pa.array(rows)
+        return ids.take(at), near @ weight[rows], low.take(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -98,8 +102,8 @@ def compare_blocks(dealt: DataFrame, cosine: float, bits: int, tables: int) -> D
             at = np.append(np.flatnonzero(new), t.num_rows)
             found = [f for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a > 1 and (f := block(t.slice(a, b - a)))]
             if found:
-                ids, n, low = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(low)], ["id", "n", "low"])
+                ids, n, low = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(n).astype(np.int64)), pa.concat_arrays(low)], ["id", "n", "low"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -118,35 +122,35 @@ def compare_blocks(dealt: DataFrame, cosine: float, bits: int, tables: int) -> D
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "id long, n long, low long")
+    return dealt.mapInArrow(run, "id binary, n long, low binary")
 
 
 def near_vectors(vecs: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vecs (vec_id, embedding); see the module."""
-    rows = vecs.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(vecs.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vecs.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0)
-    zeroed = F.transform("embedding", lambda v: v + F.lit(0.0))  # one zero
-    rows = rows.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)), F.sha2(F.to_json(F.struct(zeroed.alias("e"))), 256)).alias("digest"))
-    rows = materialise(rows, "vectors")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    reps = rows.join(classes, (rows["vec_id"] == classes["id"]) & (rows["digest"] == classes["digest"]))
-    reps = materialise(reps.select("id", "weight", "embedding", F.size("embedding").alias("dim")).dropDuplicates(["id"]), "classes")
-    bits, tables = tables_for(reps.count(), cosine, miss)
+    one_zero = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0).cast(kind[6:-1])).otherwise(v))
+    digest = F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), one_zero, F.size("embedding"))), 16, "0") for k in (1, 2))))
+    rows = materialise(rows.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)), digest).alias("digest")), "vectors")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = materialise(classes, "classes")
+    bits, tables = tables_for(classes.count(), cosine, miss)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(1).to_numpy()
+            dims = batch.column(2).to_numpy()
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                key = signs(vectors(part.column(2)), bits, tables)
-                n = len(key)
-                for a in range(0, n, 2000):
-                    b = min(n, a + 2000)
-                    number = np.tile(np.arange(tables, dtype=np.int32), b - a)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy()[a:b], tables)), pa.array(np.full((b - a) * tables, d, np.int32)), pa.array(number), pa.array(key[a:b].ravel())], ["id", "dim", "number", "bucket"])
-
-    place = materialise(reps.select("id", "dim", "embedding").mapInArrow(keys, "id long, dim int, number int, bucket long"), "buckets")
+                key = signs(vectors(part.column(3)), bits, tables).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * tables), pa.array(key.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["id", "weight", "dim", "embedding", "keys"])
+
+    same = (rows["digest"] == classes["digest"]) & (rows["vec_id"] == classes["least"])
+    reps = rows.join(classes, same).select(classes["digest"].alias("id"), "weight", F.size("embedding").alias("dim"), "embedding").dropDuplicates(["id"])
+    reps = materialise(reps.mapInArrow(keys, f"id binary, weight long, dim int, embedding {kind}, keys array<int>"), "representatives")
+    place = reps.select("id", "dim", F.posexplode("keys").alias("number", "bucket"))
     sizes = place.groupBy("dim", "number", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     place = place.join(sizes, ["dim", "number", "bucket"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -156,16 +160,20 @@ def near_vectors(vecs: DataFrame, cosine: float = COSINE, miss: float = MISS) ->
     place = place.select("dim", "number", "bucket", "id", "own", other)
     place = place.select("dim", "number", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "id")
     block = ["dim", "number", "bucket", "i", "j"]
-    dealt = place.join(reps.select("id", "weight", "embedding"), "id").select(*block, "side", "id", "weight", "embedding")
+    dealt = place.join(reps.drop("dim"), "id").select(*block, "side", "id", "weight", "keys", "embedding")
     dealt = dealt.repartition(*block).sortWithinPartitions(*block, "id")
-    found = materialise(compare_blocks(dealt, cosine, bits, tables), "links")
+    found = materialise(compare_blocks(dealt, cosine), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = connected_components(found.select(F.col("id").alias("u"), F.col("low").alias("v")).where("u <> v").distinct())
-    by_class = classes.join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    by_class = by_class.select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = rows.join(by_class, "digest", "left")
-    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
+    by_class = classes.withColumnRenamed("digest", "id").join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    by_class = by_class.select("id", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("group"))
+    least = by_class.groupBy("group").agg(F.min("least").alias("component_id"))
+    by_class = materialise(by_class.join(least, "group").select(F.col("id").alias("digest"), "n", "component_id"), "groups")
+    discard(reps, found)
+    kept = F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(False)).alias("kept")
+    linked = rows.where("digest is not null").join(by_class, "digest").select("vec_id", F.col("n").cast("long").alias("n_links"), "component_id", kept)
+    alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

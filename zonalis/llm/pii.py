@@ -244,8 +244,6 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if (x := t.as_py()) is None else redacted(x, select) for t in batch.column(at)]
@@ -255,7 +253,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([o if t is None else len(t) for t, o in zip(texts, columns[size].to_pylist(), strict=True)], batch.schema.types[size])
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def undisguised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         inner[np.minimum(offsets[:-1], len(raw) - 1)] = inner[np.maximum(offsets[1:] - 1, 0)] = False
     total = np.concatenate([[0], np.cumsum(inner)])
     letters = np.concatenate([[0], np.cumsum(letter)])
-    hit = np.flatnonzero((total[end] > total[start]) & (letters[end] - letters[start] >= 2) & (end - start <= 40))
+    hit = np.flatnonzero((total[end] > total[start]) & (letters[end] - letters[start] >= 2))
     parts, at, rows = [], [0], row[hit]
     for s, e in zip(start[hit].tolist(), end[hit].tolist(), strict=True):
         x = PLAIN[raw[s:e]]
@@ -305,16 +305,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column score appended; all other columns pass through."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double"
+def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the limit, with all their columns, whatever they are called."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at)))], [*batch.schema.names, "score"])
+            yield batch.filter(pa.array(model.score(batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
