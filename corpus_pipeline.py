@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing, over all documents.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
-return the columns of documents. Defined results for nulls, empty and long texts, repeated rows and empty tables are those
-of the operators called.
+return the columns of documents, whatever other columns these have and whatever they are called. Defined results:
+repeated rows are copies of each other, and one stays; rows that share a doc_id but not their text are judged apart, and
+rows without a doc_id or without words are no duplicates of any; null, empty and very long texts have the results of the
+operators called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from zonalis.llm import mixing, near_dedup, packing, pii, toxicity
 from zonalis.llm.common import materialise, table
@@ -20,17 +21,12 @@ from zonalis.llm.common import materialise, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier rejects go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model).where("score < 0.5").drop("score")
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8) stays; rows without words or doc_id are no duplicates."""
-    found = near_dedup.near_duplicates(docs, near_dedup.Likeness())
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    alone = docs.where("doc_id is null")
-    # repeated rows of a kept doc_id are copies of it
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(alone)
+    return near_dedup.drop_near_duplicates(docs, near_dedup.Likeness())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +36,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows chosen to the target weights of domains, languages and sources; a row of a second epoch is a second row."""
-    return mixing.mix_sources(mixing.with_domain(docs)).select(docs.columns)
+    return mixing.mix_sources(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
