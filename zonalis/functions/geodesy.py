@@ -26,13 +26,3 @@ def pixel_area_ha(latitude: Column, width: float) -> Column:
 def tile_area_ha(tile_row: Column, width: float, tile_pixels: int) -> Column:
     """Hectares of every pixel of a row of tiles: its value at the tile's centre."""
     return pixel_area_ha((tile_row + 0.5) * (width * tile_pixels), width)
-
-
-def area_sql(latitude: str, width: float) -> str:
-    """The same value as SQL text."""
-
-    def zone(lat: str) -> str:
-        s = f"({ECCENTRICITY!r} * sin(radians({lat})))"
-        return f"(atanh({s}) / {ECCENTRICITY!r} + sin(radians({lat})) / (1 - {s} * {s}))"
-
-    return f"(abs({zone(f'({latitude} + {width!r})')} - {zone(f'({latitude})')}) * {math.pi * MINOR**2 * width / 360 / 10000!r})"

@@ -35,13 +35,13 @@ def tiles_of(df: DataFrame) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, layer: str, present: DataFrame, value: int | float | Column = 0) -> DataFrame:
-    """Pixels of tiles that a layer has no file for get `value`; null pixels of present tiles stay null.
+    """Pixels of tiles that a layer has no data for get `value`; null pixels of present tiles stay null.
 
-    present: (tile_y, tile_x) of the layer's files, a row per tile.
+    present: (tile_y, tile_x) of the layer's data, a row per tile, so 260,000 rows at most on the finest grid.
     """
     t = lambda c: F.floor(F.col(c) / TILE_PIXELS).cast("long")
     marked = df.withColumns({"tile_y": t("prow"), "tile_x": t("pcol")}).join(present.select("tile_y", "tile_x", F.lit(True).alias("_here")), ["tile_y", "tile_x"], "left")
-    filled = F.when(F.col("_here").isNull(), F.coalesce(F.col(layer), F.lit(value) if not isinstance(value, Column) else value)).otherwise(F.col(layer))
+    filled = F.when(F.col("_here").isNull(), F.coalesce(F.col(layer), F.lit(value).cast(df.schema[layer].dataType) if not isinstance(value, Column) else value)).otherwise(F.col(layer))
     return marked.withColumn(layer, filled).drop("tile_y", "tile_x", "_here")
 
 

@@ -61,6 +61,17 @@ def tile_id_nwse(longitude: Column, latitude: Column, grid: Grid) -> Column:
     return F.concat_ws("_", _letter(west, 3, "E", "W"), _letter(south, 2, "N", "S"), _letter(east, 3, "E", "W"), _letter(north, 2, "N", "S"))
 
 
+def file_name(file_y: int, file_x: int, grid: Grid, scheme: str = "nw") -> str:
+    """Name of a file by its place, in degrees from 0/0 divided by the file's size; schemes nw and nwse as above."""
+    south, west = file_y * grid.degrees, file_x * grid.degrees
+    north, east = south + grid.degrees, west + grid.degrees
+    lat = lambda v: f"{abs(v):02d}{'N' if v >= 0 else 'S'}"
+    lon = lambda v: f"{abs(v):03d}{'E' if v >= 0 else 'W'}"
+    if scheme not in ("nw", "nwse"):
+        raise ValueError(f"unknown tile scheme {scheme!r}")
+    return f"{lat(north)}_{lon(west)}" if scheme == "nw" else f"{lon(west)}_{lat(south)}_{lon(east)}_{lat(north)}"
+
+
 def tile_cover(boxes: DataFrame, grid: Grid) -> DataFrame:
     """(fid, tile_x, tile_y) of all tiles under the bounding boxes (fid, west, south, east, north)."""
     t = grid.tile_degrees

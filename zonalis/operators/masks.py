@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidGeometryError
-from .grids import Grid
+from .grids import TILE_PIXELS, Grid
 
 #: Intervals up to which they may be broadcast: about 32 bytes each.
 BROADCAST_INTERVALS = 200_000
@@ -21,13 +21,29 @@ RINGS = "array<array<array<array<double>>>>"
 
 
 def polygons(features: DataFrame) -> DataFrame:
-    """features (fid, geometry) with rings, an array of polygons of rings of points; null where the GeoJSON is unusable."""
+    """features (fid, geometry) with rings, an array of polygons of closed rings of points; null where the GeoJSON is unusable.
+
+    A ring that doesn't end where it starts is closed; it needs three points, or four with the last on the first.
+    """
     kind = F.get_json_object("geometry", "$.type")
     inner = F.get_json_object("geometry", "$.coordinates")
     text = F.when(kind == "Polygon", F.concat(F.lit("["), inner, F.lit("]"))).when(kind == "MultiPolygon", inner)
     rings = F.from_json(text, RINGS)
-    sound = F.forall(rings, lambda p: p.isNotNull() & (F.size(p) > 0) & F.forall(p, lambda r: r.isNotNull() & (F.size(r) >= 4) & F.forall(r, lambda x: x.isNotNull() & (F.size(x) >= 2) & F.forall(x, lambda v: v.isNotNull()))))
-    return features.withColumn("rings", F.when((F.size(rings) > 0) & sound, rings))
+    points = lambda r: r.isNotNull() & (F.size(r) >= 3) & F.forall(r, lambda x: x.isNotNull() & (F.size(x) >= 2) & F.forall(x, lambda v: v.isNotNull()))
+    sound = F.forall(rings, lambda p: p.isNotNull() & (F.size(p) > 0) & F.forall(p, points))
+    first, last = lambda r: F.get(r, F.lit(0)), lambda r: F.get(r, F.size(r) - 1)
+    closed = lambda r: F.when(F.slice(first(r), 1, 2) == F.slice(last(r), 1, 2), r).otherwise(F.concat(r, F.array(first(r))))
+    whole = F.transform(rings, lambda p: F.transform(p, closed))
+    enough = F.forall(whole, lambda p: F.forall(p, lambda r: F.size(r) >= 4))
+    return features.withColumn("rings", F.when((F.size(rings) > 0) & sound, F.when(enough, whole)))
+
+
+def boxes(features: DataFrame) -> DataFrame:
+    """(fid, west, south, east, north) of the features (fid, geometry) that have usable rings."""
+    point = F.flatten(F.flatten("rings"))
+    span = lambda i: F.transform(point, lambda p: p[i])
+    out = polygons(features).where("rings is not null")
+    return out.select("fid", F.array_min(span(0)).alias("west"), F.array_min(span(1)).alias("south"), F.array_max(span(0)).alias("east"), F.array_max(span(1)).alias("north"))
 
 
 def edges(features: DataFrame) -> DataFrame:
@@ -77,8 +93,9 @@ class Shape:
         try:
             parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"] if g["type"] == "MultiPolygon" else None
             rings = [[(float(p[0]), float(p[1])) for p in ring] for part in parts for ring in part]
+            rings = [r if r and r[0] == r[-1] else r + r[:1] for r in rings]
             if not rings or min(len(r) for r in rings) < 4:
-                raise ValueError("a ring needs four points")
+                raise ValueError("a ring needs three points, or four with the last on the first")
         except (KeyError, TypeError, ValueError, IndexError) as e:
             raise InvalidGeometryError("the geometry must be a Polygon or MultiPolygon") from e
         xs, ys = [x for r in rings for x, _ in r], [y for r in rings for _, y in r]
@@ -109,7 +126,19 @@ def mask(pixels: DataFrame, shape: Shape, grid: Grid) -> DataFrame:
 
 
 def mask_features(pixels: DataFrame, features: DataFrame, grid: Grid) -> DataFrame:
-    """The pixels inside each feature (fid, geometry), with fid: joined by pixel row, which AQE may split or broadcast."""
-    lines = intervals(features, grid).withColumnRenamed("prow", "_row")
-    joined = pixels.join(lines, (F.col("prow") == F.col("_row")) & (F.col("pcol") >= F.col("c0")) & (F.col("pcol") < F.col("c1")))
-    return joined.drop("_row", "c0", "c1")
+    """The pixels inside each feature (fid, geometry), with fid.
+
+    The box around all features, a scalar subquery, reaches the scan. Intervals are cut at tile columns and joined by pixel
+    row and tile column, so a pixel meets the intervals of its own tile only; AQE may split or broadcast the join.
+    """
+    around = boxes(features).agg(*(f(c).alias(c) for f, c in ((F.min, "west"), (F.min, "south"), (F.max, "east"), (F.max, "north"))))
+    edge = lambda c, more: (F.floor(F.col(c) / F.lit(grid.width)) + more).cast("long").alias(c)  # noqa: E731  one pixel to spare
+    least = around.select(edge("west", -1), edge("south", -1), edge("east", 1), edge("north", 1))
+    bound = {c: least.select(c).scalar() for c in least.columns}
+    near = pixels.where((F.col("prow") >= bound["south"]) & (F.col("prow") <= bound["north"]) & (F.col("pcol") >= bound["west"]) & (F.col("pcol") <= bound["east"]))
+    lines = intervals(features, grid).withColumn("_tile", F.explode(F.sequence(grid.tile(F.col("c0")), grid.tile(F.col("c1") - 1))))
+    first = F.col("_tile") * TILE_PIXELS
+    lines = lines.select("fid", F.col("prow").alias("_row"), "_tile", F.greatest("c0", first).alias("c0"), F.least("c1", first + TILE_PIXELS).alias("c1"))
+    at = (F.col("prow") == F.col("_row")) & (grid.tile(F.col("pcol")) == F.col("_tile"))
+    joined = near.join(lines, at & (F.col("pcol") >= F.col("c0")) & (F.col("pcol") < F.col("c1")))
+    return joined.drop("_row", "_tile", "c0", "c1")

@@ -26,6 +26,12 @@ class RasterTable:
     def whole(self) -> bool:
         return all(isinstance(m, int) for _, m in self.rows) and (not self.default or isinstance(self.default, int))
 
+    @property
+    def rises(self) -> bool:
+        """Whether meanings rise with codes."""
+        rows = sorted(self.rows, key=lambda r: r[0])
+        return all(isinstance(a[1], str) == isinstance(b[1], str) and a[1] < b[1] for a, b in zip(rows, rows[1:], strict=False))
+
     def decode(self, code: Column) -> Column:
         kind = "int" if self.whole else "string"
         out = F.lit(self.default if self.whole or not self.default else str(self.default)).cast(kind) if self.default else F.lit(None).cast(kind)
@@ -75,24 +81,14 @@ class Layer:
         return to_column(self.decode_expression, A=column) if self.decode_expression else column
 
     def compare(self, column: Column, op: str, value: Any) -> Column:
-        """A predicate on raw codes for a comparison with a meaning."""
-        if self.table:
-            listed = [c for c, _ in self.table.rows]
-            known = [m for _, m in self.table.rows] + ([self.table.default] if self.table.default else [])
-            if op in ("=", "!=") and value not in known:
-                raise ValueError(f"value {value!r} is not in the encoding of {self.name}")
+        """A predicate on raw codes for a comparison with a meaning.
 
-            def holds(m: Any) -> bool:
-                if isinstance(m, str) != isinstance(value, str):
-                    if op in ("=", "!="):
-                        return op == "!="
-                    raise ValueError(f"value {value!r} can't be compared with the encoding of {self.name}")
-                return COMPARE[op](m, value)
-
-            hit = [c for c, m in self.table.rows if holds(m)]
-            if self.table.default and holds(self.table.default):  # every unlisted code has the default meaning
-                return ~column.isin([c for c in listed if c not in hit]) if len(hit) < len(listed) else column.isNotNull()
-            return column.isin(hit) if hit else F.lit(False)
+        Over a dictionary `=` holds for the codes of the meaning, those unlisted included where it is the default, and `!=`
+        for all others. Order comparisons are on raw codes where meanings rise with codes and there is no default, so an
+        unlisted code stands where its number does; else on meanings, and an unlisted code without a meaning has no order.
+        """
+        if self.table:
+            return self._compare_meanings(self.table, column, op, value)
         codes = to_scalars(self.encode_expression, value) if self.encode_expression else [value]
         if op in ("=", "!="):
             same = column.isin(codes) if len(codes) > 1 else column == F.lit(codes[0])
@@ -103,6 +99,29 @@ class Layer:
             out = one if out is None else out | one
         return out
 
+    def _compare_meanings(self, table: RasterTable, column: Column, op: str, value: Any) -> Column:
+        listed = [c for c, _ in table.rows]
+        if op in ("=", "!="):
+            codes = [c for c, m in table.rows if m == value and isinstance(m, str) == isinstance(value, str)]
+            if table.default and value == table.default:
+                same = ~column.isin([c for c in listed if c not in codes])
+            elif codes:
+                same = column.isin(codes)
+            else:
+                raise ValueError(f"value {value!r} is not in the encoding of {self.name}")
+            return same if op == "=" else F.coalesce(~same, F.lit(True))
+        if any(isinstance(m, str) != isinstance(value, str) for m in [m for _, m in table.rows] + ([table.default] if table.default else [])):
+            raise ValueError(f"value {value!r} can't be compared with the encoding of {self.name}")
+        holds = [c for c, m in table.rows if COMPARE[op](m, value)]
+        if not table.default and table.rises:
+            if op in ("<", "<="):
+                rest = [c for c in listed if c not in holds]
+                return column < F.lit(min(rest)) if rest else column.isNotNull()
+            return column >= F.lit(min(holds)) if holds else F.lit(False)
+        if table.default and COMPARE[op](table.default, value):  # every unlisted code has the default meaning
+            return ~column.isin([c for c in listed if c not in holds]) if len(holds) < len(listed) else column.isNotNull()
+        return column.isin(holds) if holds else F.lit(False)
+
 
 @dataclass
 class Catalog:

@@ -9,27 +9,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryParseError
 from ..functions.expressions import to_column
 from ..functions.geodesy import tile_area_ha
-from ..operators.cube import clean, co_register
+from ..operators.cube import clean, co_register, fill_missing, tiles_of
 from ..operators.grids import TILE_PIXELS, Grid
-from ..operators.masks import Shape, mask, mask_features
+from ..operators.masks import Shape, boxes, mask, mask_features
+from ..sources.files import pixels_inside, read_layer, touched
 from .catalog import RESERVED, Catalog, Layer
 from .rsql import Comparison, Logical, Query, Selector, parse
 
 
 @dataclass
 class Engine:
-    """pixels: one table (prow, pcol, layer columns), or a table (prow, pcol, <layer>) for each layer."""
+    """pixels: one table (prow, pcol, layer columns), or a table (prow, pcol, <layer>) for each layer, or None to read the
+    files that the catalogue's layers name.
+
+    Where a layer has no data in a whole tile (of a layer's table) or no file, its pixels there are 0 with `missing` 'zero',
+    and null, as pixels that a table lacks within a tile, with 'nodata'.
+    """
 
     spark: SparkSession
     catalog: Catalog
-    pixels: DataFrame | dict[str, DataFrame]
+    pixels: DataFrame | dict[str, DataFrame] | None = None
     default_grid: str = "10/40000"
+    missing: str = "zero"
+
+    def __post_init__(self) -> None:
+        if self.missing not in ("zero", "nodata"):
+            raise ValueError("missing must be 'zero' or 'nodata'")
 
     def analyse(self, query: str | Query) -> tuple[Query, list[str], Grid]:
         """The parsed query, the source layers it reads, and their grid; raises QueryParseError."""
@@ -107,16 +118,25 @@ class Engine:
             out = out & self.predicate(q, grid) if p.operator == "and" else out | self.predicate(q, grid)
         return out
 
-    def table(self, q: Query, sources: list[str]) -> DataFrame:
+    def table(self, q: Query, sources: list[str], features: DataFrame, grid: Grid) -> DataFrame:
         """The pixels with the layers that the query reads, NaN as null."""
+        base = self.catalog.source_of(q.base) if self.catalog.has(q.base) else None
+        if self.pixels is None:
+            tiles = touched(features, grid)
+            if not sources:
+                return pixels_inside(features, grid, tiles)
+            return clean(co_register({s: read_layer(self.catalog.get(s), features, tiles, self.missing) for s in sources}, base), sources)
         if isinstance(self.pixels, dict):
             for s in sources:
                 if s not in self.pixels:
                     raise QueryParseError(f"no table for layer {s}")
             if not sources:
                 raise QueryParseError("a query without layers needs one pixel table")
-            base = self.catalog.source_of(q.base) if self.catalog.has(q.base) else None
-            return clean(co_register({s: self.pixels[s] for s in sources}, base), sources)
+            df = clean(co_register({s: self.pixels[s] for s in sources}, base), sources)
+            if self.missing == "zero" and len(sources) > 1:
+                for s in sources:
+                    df = fill_missing(df, s, F.broadcast(tiles_of(self.pixels[s])), 0)
+            return df
         lacking = [s for s in sources if s not in self.pixels.columns]
         if lacking:
             raise QueryParseError(f"no column for layers {lacking}")
@@ -132,16 +152,25 @@ class Engine:
         return df.where(self.predicate(q.where, grid)) if q.where else df
 
     def sql(self, query: str | Query, geometry: dict | str) -> DataFrame:
-        """The result of a query over the pixels inside a geometry; lazy."""
+        """The result of a query over the pixels inside a geometry; lazy, but for the names of files to read."""
         q, sources, grid = self.analyse(query)
         shape = Shape.of(geometry)
-        return self.finish(self.evaluate(mask(self.table(q, sources), shape, grid), q, grid, []), q, [])
+        one = self.spark.createDataFrame([("0", shape.text)], "fid string, geometry string")
+        return self.finish(self.evaluate(mask(self.table(q, sources, one, grid), shape, grid), q, grid, []), q, [])
 
     def sql_many(self, query: str | Query, features: DataFrame) -> DataFrame:
-        """Results for every feature (fid, geometry) at once, with fid first; features without pixels give no rows."""
+        """Results for every feature (fid, geometry) at once, with fid first.
+
+        Every feature gets what sql() gives for it alone: its own order and LIMIT, and without GROUP BY a row of 0 (null for
+        AVG) where it has no pixels. A feature with an unusable geometry gets no rows; see operators.batch for its status.
+        """
         q, sources, grid = self.analyse(query)
-        inside = mask_features(self.table(q, sources), features, grid)
-        return self.finish(self.evaluate(inside, q, grid, ["fid"]), q, ["fid"])
+        inside = mask_features(self.table(q, sources, features, grid), features, grid)
+        out = self.evaluate(inside, q, grid, ["fid"])
+        if q.aggregates and not q.groups:
+            blank = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0).cast(out.schema[n].dataType)) for n, a in zip(self.names(q), q.aggregates, strict=True) if a.name != "avg"}
+            out = boxes(features).select("fid").join(out, "fid", "left").withColumns(blank)
+        return self.finish(out, q, ["fid"])
 
     def evaluate(self, df: DataFrame, q: Query, grid: Grid, by: list[str]) -> DataFrame:
         df = self.filtered(df, q, grid)
@@ -194,6 +223,9 @@ class Engine:
         orders = [(at.get(o.column, o.column), o.ascending) for o in q.orders]
         if not orders and q.groups and q.aggregates:
             orders = [(n, True) for n in names[: len(names) - len(q.aggregates)]]
-        if orders:
-            df = df.orderBy(*by, *(F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in orders))
-        return df.limit(q.limit) if q.limit and not by else df
+        order = [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in orders]
+        if by and q.limit:  # Spark keeps the first rows of a key before it shuffles
+            place = F.row_number().over(Window.partitionBy(*by).orderBy(*order or [F.lit(0)]))
+            df = df.withColumn("_place", place).where(F.col("_place") <= q.limit).drop("_place")
+        df = df.orderBy(*by, *order) if order else df
+        return df if by or not q.limit else df.limit(q.limit)

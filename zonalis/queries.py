@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.geodesy import area_sql
-from .operators.batch import batch_status, feature_status
-from .operators.cube import clean, co_register, fill_missing, from_blocks, tiles_of, to_blocks
+from .operators.batch import batch_status, envelopes, feature_status
+from .operators.cube import clean, from_blocks, to_blocks
 from .operators.grids import Grid, tile_cover, tile_id_nw, tile_id_nwse
+from .operators.masks import boxes
 from .plans.engine import Engine
 from .sources.pixels import events_catalog, lineitem_catalog, px_events, px_lineitem
 
@@ -30,22 +30,26 @@ def _box(west: float, south: float, east: float, north: float) -> list[list[floa
     return _ring((west, south), (east, south), (east, north), (west, north))
 
 
+#: Boxes that mean everything reach far beyond the pole: the synthetic rows grow with the tables.
 SHAPES: dict[str, dict] = {
-    "box_all": {"type": "Polygon", "coordinates": [_box(9.9, 3.9, 12.6, 30)]},
-    "box_half": {"type": "Polygon", "coordinates": [_box(10.5, 3.9, 12.6, 30)]},
+    "box_all": {"type": "Polygon", "coordinates": [_box(9.9, 3.9, 12.6, 3e6)]},
+    "box_half": {"type": "Polygon", "coordinates": [_box(10.5, 3.9, 12.6, 3e6)]},
     "triangle": {"type": "Polygon", "coordinates": [_ring((10, 4), (12.5, 4), (11.2, 6.5))]},
     "donut": {"type": "Polygon", "coordinates": [_box(10, 4, 12.5, 6.5), _box(11, 5, 11.5, 5.5)]},
     "multi": {"type": "MultiPolygon", "coordinates": [[_box(10, 4, 10.7, 5.1)], [_box(11.3, 4.9, 12.2, 6.2)]]},
     "concave": {"type": "Polygon", "coordinates": [_ring((10, 4), (12.4, 4), (12.4, 4.8), (11, 4.8), (11, 6.4), (10, 6.4))]},
     "outside": {"type": "Polygon", "coordinates": [_box(0, 40, 1, 41)]},
-    "world": {"type": "Polygon", "coordinates": [_box(-180, -80, 180, 80)]},
+    "open_ring": {"type": "Polygon", "coordinates": [[[10, 4], [12.5, 4], [11.2, 6.5]]]},
+    "world": {"type": "Polygon", "coordinates": [_box(-180, -80, 180, 3e6)]},
 }
 LON, LAT = "((pcol + 0.5) * 0.00025)", "((prow + 0.5) * 0.00025)"
-AREA = area_sql("((floor(prow / 5000.0) + 0.5) * 1.25)", 0.00025)
+#: A pixel's hectares by the midpoint rule on the ellipsoid's surface element, at the centre of its row of tiles.
+_MID = "radians((floor(prow / 5000.0) + 0.5) * 1.25 + 0.000125)"
+AREA = f"(pow(6356752.314245179, 2) * cos({_MID}) / pow(1 - (1 - pow(6356752.314245179 / 6378137.0, 2)) * pow(sin({_MID}), 2), 2) * pow(radians(0.00025), 2) / 10000)"
 PX = """px AS (SELECT 16000 + (event_id // 100) * 100 AS prow, 40000 + (event_id % 100) * 100 AS pcol,
  CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 0 END AS et,
  CAST(json_extract(props, '$.k') AS INT) AS k, user_id % 20 + 1 AS ly, date_diff('day', DATE '2014-12-31', CAST(ts AS DATE)) AS d,
- 2 + user_id % 2 AS conf, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v, event_id % 2 AS flag FROM events)"""
+ 2 + user_id % 2 AS conf, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v, event_id % 2 AS flag, event_id % 7 AS lv, event_id % 5 AS gr FROM events)"""
 LX = """px AS (SELECT l_suppkey * 50 + l_linenumber AS prow, l_partkey % 40000 AS pcol, CAST(l_quantity AS INT) AS q,
  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 0 END AS rf, CAST(round(l_discount * 100) AS INT) AS disc,
  l_extendedprice AS price, date_diff('day', DATE '1994-12-31', CAST(l_shipdate AS DATE)) AS sd FROM lineitem)"""
@@ -58,7 +62,7 @@ def _inside(shape: str) -> str:
     """Ray casting over the edges of all rings."""
     g = SHAPES[shape]
     parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
-    edges = [(*a, *b) for part in parts for ring in part for a, b in zip(ring, ring[1:], strict=False) if a[1] != b[1]]
+    edges = [(*a, *b) for part in parts for ring in part for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a[1] != b[1]]
     rays = " + ".join(f"(CASE WHEN ({y0} <= {LAT}) <> ({y1} <= {LAT}) AND {LON} < {x0} + ({LAT} - {y0}) * ({x1} - {x0}) / ({y1} - ({y0})) THEN 1 ELSE 0 END)" for x0, y0, x1, y1 in ((float(v) for v in e) for e in edges))
     return f"(({rays}) % 2 = 1)"
 
@@ -85,6 +89,11 @@ SPECS: dict[str, tuple[str, str, dict[str, int], str, str]] = {
     "filter_or_of_and": ("SELECT COUNT(*) FROM data WHERE loss__year = 2001 OR (class__k = 'Mid' AND event__type = 'click')", "box_all", {}, "count(*) AS count", "AND (ly = 1 OR (k BETWEEN 30 AND 59 AND et = 1))"),
     "filter_encoded_eq": ("SELECT COUNT(*) FROM data WHERE event__type = 'purchase'", "box_all", {}, "count(*) AS count", "AND et = 3"),
     "filter_encoded_neq": ("SELECT COUNT(*) FROM data WHERE class__k != 'Mid'", "box_all", {}, "count(*) AS count", "AND k NOT BETWEEN 30 AND 59"),
+    "filter_neq_unlisted": ("SELECT COUNT(*) FROM data WHERE event__type != 'click' AND level__pct != 20", "box_all", {}, "count(*) AS count", "AND et <> 1 AND lv <> 2"),
+    "filter_lt_unlisted": ("SELECT COUNT(*) FROM data WHERE level__pct < 30", "box_all", {}, "count(*) AS count", "AND lv < 3"),
+    "filter_gte_unlisted": ("SELECT level__pct, COUNT(*) FROM data WHERE level__pct >= 40 OR level__pct <= 10 GROUP BY level__pct", "box_all", {}, "lv * 10 AS level__pct, count(*) AS count", "AND (lv >= 4 OR lv <= 1) AND lv BETWEEN 1 AND 5 GROUP BY lv"),
+    "filter_order_not_rising": ("SELECT COUNT(*) FROM data WHERE grade__code >= 20", "box_all", {}, "count(*) AS count", "AND gr IN (1, 4)"),
+    "polygon_open_ring": ("SELECT COUNT(*), SUM(area__ha) FROM data", "open_ring", {"area__ha": 4}, f"count(*) AS count, round(sum({AREA}), 4) AS area__ha", ""),
     "filter_encoded_gte": ("SELECT COUNT(*) FROM data WHERE loss__year >= 2015 AND loss__year <= 2018", "box_all", {}, "count(*) AS count", "AND ly BETWEEN 15 AND 18"),
     "filter_default_meaning": ("SELECT COUNT(*) FROM data WHERE class__k = 'Unknown'", "box_all", {}, "count(*) AS count", "AND k IN (0, 99)"),
     "filter_float_nan": ("SELECT COUNT(*) FROM data WHERE value__per_ha != 0 AND is__flag = 'false'", "box_all", {}, "count(*) AS count", "AND (v IS NULL OR v <> 0) AND flag = 0"),
@@ -140,15 +149,18 @@ def split_layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def multi_layer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Engine(spark, events_catalog(), split_layers(spark, sf_dir)).sql("SELECT class__k, COUNT(*), SUM(value__per_ha) AS total FROM event__type GROUP BY class__k", SHAPES["box_all"])
-    return out.withColumn("total", F.round("total", 2))
+    out = Engine(spark, events_catalog(), split_layers(spark, sf_dir)).sql("SELECT class__k, COUNT(*), SUM(value__per_ha) AS total, AVG(value__per_ha) AS mean FROM event__type GROUP BY class__k", SHAPES["box_all"])
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 4)})
 
 
-def missing_tile_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = split_layers(spark, sf_dir)
-    cube = co_register({k: layers[k] for k in ("class__k", "value__per_ha")}, "class__k")
-    cube = fill_missing(cube, "value__per_ha", tiles_of(layers["value__per_ha"]), 0.0)
-    return cube.agg(F.count("value__per_ha").alias("present"), F.count_if(F.col("value__per_ha") == 0).alias("zeros"), F.round(F.sum("value__per_ha"), 2).alias("total"))
+def missing_tile(missing: str) -> Query:
+    """A layer without data in one tile, which is 0 there by default, and null with 'nodata'."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, events_catalog(), split_layers(spark, sf_dir), missing=missing)
+        return engine.sql("SELECT class__k, COUNT(*), AVG(value__per_ha) AS mean FROM data WHERE value__per_ha < 50 OR event__type = 'click' GROUP BY class__k", SHAPES["box_all"]).withColumn("mean", F.round("mean", 4))
+
+    return query
 
 
 def block_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,26 +171,50 @@ def block_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession) -> DataFrame:
-    rows = [(n, json.dumps(SHAPES[n])) for n in ("triangle", "donut", "multi", "outside")] + [("broken", '{"type": "Polygon"'), ("point", '{"type": "Point", "coordinates": [10, 4]}')]
+    rows = [(n, json.dumps(SHAPES[n])) for n in ("triangle", "donut", "multi", "outside", "open_ring")] + [("broken", '{"type": "Polygon"'), ("point", '{"type": "Point", "coordinates": [10, 4]}')]
     return spark.createDataFrame(rows, "fid string, geometry string")
 
 
-def batch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Engine(spark, events_catalog(), px_events(spark, sf_dir)).sql_many("SELECT event__type, COUNT(*), SUM(area__ha) FROM event__type GROUP BY event__type", _features(spark))
-    return out.withColumn("area__ha", F.round("area__ha", 4))
+def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature per customer: of five, two boxes, one open triangle, one point and one ring of two points."""
+    w, s = F.lit(9.5) + F.col("c_custkey") % 30 * 0.1, F.lit(4.0) + F.col("c_custkey") % 20 * 0.1
+    p = lambda x, y: F.format_string("[%.4f, %.4f]", x, y)
+    ring = lambda *points: F.concat(F.lit('{"type": "Polygon", "coordinates": [['), F.concat_ws(", ", *points), F.lit("]]}"))
+    box = ring(p(w, s), p(w + 0.5, s), p(w + 0.5, s + 0.5), p(w, s + 0.5), p(w, s))
+    kind = F.col("c_custkey") % 5
+    shape = F.when(kind < 2, box).when(kind == 2, ring(p(w, s), p(w + 0.5, s), p(w, s + 0.5))).when(kind == 3, F.concat(F.lit('{"type": "Point", "coordinates": '), p(w, s), F.lit("}"))).otherwise(ring(p(w, s), p(w + 0.5, s)))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("fid"), shape.alias("geometry"))
+
+
+def _many(text: str, digits: dict[str, int]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = Engine(spark, events_catalog(), px_events(spark, sf_dir)).sql_many(text, _features(spark))
+        return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+    return query
+
+
+def batch_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, events_catalog(), px_events(spark, sf_dir)).sql_many("SELECT COUNT(*) FROM event__type", customer_features(spark, sf_dir))
+
+
+def batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, events_catalog(), px_events(spark, sf_dir))
+    out = envelopes(engine, "SELECT loss__year, COUNT(*) AS n FROM event__type GROUP BY loss__year ORDER BY n DESC, loss__year LIMIT 2", customer_features(spark, sf_dir))
+    top = F.get_json_object("data", "$[0].n").cast("long")
+    return out.select("fid", "status", F.col("message").isNotNull().alias("told"), F.json_array_length("data").cast("long").alias("n_rows"), top.alias("top"))
 
 
 def batch_feature_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_status(_features(spark)).select("fid", "status")
+    return feature_status(customer_features(spark, sf_dir)).select("fid", "status")
 
 
 def batch_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_status(feature_status(_features(spark)))
+    return batch_status(feature_status(customer_features(spark, sf_dir)))
 
 
 def tile_cover_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = spark.createDataFrame([("a", 9.9, 3.9, 12.6, 6.5), ("b", -1.3, -0.41, 0.2, 0.73)], "fid string, west double, south double, east double, north double")
-    return tile_cover(boxes, GRID)
+    return tile_cover(boxes(customer_features(spark, sf_dir)), GRID)
 
 
 def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +223,12 @@ def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OTHER: dict[str, Query] = {
-    "multi_layer_join": multi_layer_join, "missing_tile_zero": missing_tile_zero, "block_mode": block_mode, "batch_features": batch_features,
-    "batch_feature_status": batch_feature_status, "batch_overall": batch_overall, "tile_cover": tile_cover_query, "tile_names": tile_names,
+    "multi_layer_join": multi_layer_join, "missing_tile_zero": missing_tile("zero"), "missing_tile_nodata": missing_tile("nodata"), "block_mode": block_mode,
+    "batch_features": _many("SELECT event__type, COUNT(*), SUM(area__ha) FROM event__type GROUP BY event__type", {"area__ha": 4}),
+    "batch_zero_rows": _many("SELECT COUNT(*), SUM(area__ha), AVG(value__per_ha) AS mean FROM data", {"area__ha": 4, "mean": 4}),
+    "batch_limit": _many("SELECT loss__year, COUNT(*) AS n FROM data GROUP BY loss__year ORDER BY n DESC, loss__year LIMIT 3", {}),
+    "batch_customers": batch_customers, "batch_envelopes": batch_envelopes, "batch_feature_status": batch_feature_status, "batch_overall": batch_overall,
+    "tile_cover": tile_cover_query, "tile_names": tile_names,
 }
 
 
@@ -205,15 +245,28 @@ def _other_sql() -> dict[str, str]:
     lat = lambda v: _name_sql(v, 2, "N", "S")
     lon = lambda v: _name_sql(v, 3, "E", "W")
     far = "(floor(prow / 5000.0) <> 3 OR floor(pcol / 5000.0) <> 8)"
-    names = ("triangle", "donut", "multi", "outside")
+    names = ("triangle", "donut", "multi", "outside", "open_ring")
+    many = lambda select, rest: f"WITH {PX} " + " UNION ALL ".join(f"SELECT '{n}' AS fid, {select} FROM px WHERE {_inside(n)} {rest}" for n in names)
+    # a missing tile: no value there, which counts as 0; elsewhere a null value is no data
+    split = f"{PX}, s AS (SELECT *, CASE WHEN {far} THEN v ELSE 0 END AS v0, CASE WHEN {far} THEN v END AS vn FROM px)"
+    customers = "c AS (SELECT CAST(c_custkey AS VARCHAR) AS fid, c_custkey % 5 AS kind, 9.5 + c_custkey % 30 * 0.1 AS w, 4.0 + c_custkey % 20 * 0.1 AS s FROM customer)"
+    # centres inside a customer's box, or below the diagonal of its triangle
+    within = f"{LON} >= w AND {LON} < w + 0.5 AND {LAT} >= s AND {LAT} < s + 0.5 AND (kind < 2 OR {LON} - w < 0.5 - ({LAT} - s))"
+    hits = f"{PX}, {customers}, h AS (SELECT fid, ly FROM c JOIN px ON {within} WHERE kind < 3 AND et <> 0)"
+    missing = lambda v: f"WITH {split} SELECT {CLASS} AS class__k, count(*) AS count, round(avg({v}), 4) AS mean FROM s WHERE {_inside('box_all')} AND ({v} < 50 OR et = 1) GROUP BY 1"
     return {
-        "multi_layer_join": f"WITH {PX} SELECT {CLASS} AS class__k, count(*) AS count, round(coalesce(sum(CASE WHEN {far} THEN v END), 0), 2) AS total FROM px WHERE {_inside('box_all')} AND et <> 0 GROUP BY 1",
-        "missing_tile_zero": f"WITH {PX}, t AS (SELECT DISTINCT floor(prow / 5000.0) AS ty, floor(pcol / 5000.0) AS tx FROM px WHERE {far}), f AS (SELECT CASE WHEN ty IS NULL THEN 0 ELSE v END AS v FROM px LEFT JOIN t ON floor(prow / 5000.0) = ty AND floor(pcol / 5000.0) = tx) SELECT count(v) AS present, count(*) FILTER (WHERE v = 0) AS zeros, round(sum(v), 2) AS total FROM f",
+        "multi_layer_join": f"WITH {split} SELECT {CLASS} AS class__k, count(*) AS count, round(coalesce(sum(v0), 0), 2) AS total, round(avg(v0), 4) AS mean FROM s WHERE {_inside('box_all')} AND et <> 0 GROUP BY 1",
+        "missing_tile_zero": missing("v0"),
+        "missing_tile_nodata": missing("vn"),
         "block_mode": _sql("triangle", f"ly + 2000 AS loss__year, count(*) AS count, round(sum({AREA}), 4) AS area__ha", "AND et <> 0 GROUP BY ly", False),
-        "batch_features": f"WITH {PX} " + " UNION ALL ".join(f"SELECT '{n}' AS fid, {TYPE} AS event__type, count(*) AS count, round(sum({AREA}), 4) AS area__ha FROM px WHERE {_inside(n)} AND et <> 0 GROUP BY et" for n in names),
-        "batch_feature_status": "SELECT * FROM (VALUES ('triangle', 'success'), ('donut', 'success'), ('multi', 'success'), ('outside', 'success'), ('broken', 'failed'), ('point', 'failed')) AS t(fid, status)",
-        "batch_overall": "SELECT 'partial_success' AS status, CAST(4 AS BIGINT) AS succeeded, CAST(2 AS BIGINT) AS failed",
-        "tile_cover": "WITH b(fid, w, s, e, n) AS (VALUES ('a', 9.9, 3.9, 12.6, 6.5), ('b', -1.3, -0.41, 0.2, 0.73)) SELECT fid, tile_x, tile_y FROM b, generate_series(-300, 300) AS x(tile_x), generate_series(-300, 300) AS y(tile_y) WHERE tile_x * 1.25 < e AND (tile_x + 1) * 1.25 > w AND tile_y * 1.25 < n AND (tile_y + 1) * 1.25 > s",
+        "batch_features": many(f"{TYPE} AS event__type, count(*) AS count, round(sum({AREA}), 4) AS area__ha", "AND et <> 0 GROUP BY et"),
+        "batch_zero_rows": many(f"count(*) AS count, round(coalesce(sum({AREA}), 0), 4) AS area__ha, round(avg(v), 4) AS mean", ""),
+        "batch_limit": f"WITH m AS ({many('ly + 2000 AS loss__year, count(*) AS n', 'GROUP BY ly')}) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fid ORDER BY n DESC, loss__year) <= 3",
+        "batch_customers": f"WITH {hits} SELECT c.fid, count(h.fid) AS count FROM c LEFT JOIN h ON c.fid = h.fid WHERE kind < 3 GROUP BY c.fid",
+        "batch_envelopes": f"WITH {hits}, g AS (SELECT fid, ly, count(*) AS n FROM h GROUP BY fid, ly), e AS (SELECT fid, least(count(*), 2) AS n_rows, max(n) AS top FROM g GROUP BY fid) SELECT c.fid, CASE WHEN kind < 3 THEN 'success' ELSE 'failed' END AS status, kind >= 3 AS told, CASE WHEN kind < 3 THEN coalesce(n_rows, 0) END AS n_rows, top FROM c LEFT JOIN e ON c.fid = e.fid",
+        "batch_feature_status": f"WITH {customers} SELECT fid, CASE WHEN kind < 3 THEN 'success' ELSE 'failed' END AS status FROM c",
+        "batch_overall": f"WITH {customers} SELECT CASE WHEN bool_and(kind < 3) THEN 'success' WHEN bool_or(kind < 3) THEN 'partial_success' ELSE 'failed' END AS status, count(*) FILTER (WHERE kind < 3) AS succeeded, count(*) FILTER (WHERE kind >= 3) AS failed FROM c",
+        "tile_cover": f"WITH {customers} SELECT fid, tile_x, tile_y FROM c, generate_series(0, 20) AS x(tile_x), generate_series(0, 20) AS y(tile_y) WHERE kind < 3 AND tile_x * 1.25 < w + 0.5 AND (tile_x + 1) * 1.25 > w AND tile_y * 1.25 < s + 0.5 AND (tile_y + 1) * 1.25 > s",
         "tile_names": f"WITH p AS (SELECT DISTINCT CAST(event_id % 360 AS DOUBLE) - 179.5 AS lon, CAST(event_id % 160 AS DOUBLE) - 79.5 AS lat FROM events) SELECT lon, lat, {lat(north)} || '_' || {lon(west)} AS nw, {lon(west)} || '_' || {lat(f'({north} - 10)')} || '_' || {lon(f'({west} + 10)')} || '_' || {lat(north)} AS nwse FROM p",
     }
 

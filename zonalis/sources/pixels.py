@@ -16,10 +16,12 @@ EVENTS_ENVIRONMENT = [
     {"name": "any__k", "no_data": None},
     {"name": "loss__year", "no_data": 0, "raster_table": {"rows": [{"value": k, "meaning": 2000 + k} for k in range(1, 21)]}},
     {"name": "alert__date_conf", "no_data": 0},
-    {"name": "alert__date", "no_data": 0, "source_layer": "alert__date_conf", "calc": "A % 10000", "decode_expression": "(A + 16435).astype('datetime64[D]').astype(str)", "encode_expression": "(datetime64(A) - 16435).astype(uint16)"},
-    {"name": "alert__confidence", "no_data": 0, "source_layer": "alert__date_conf", "calc": "floor(A / 10000).astype(uint8)", "raster_table": {"rows": [{"value": 2, "meaning": ""}, {"value": 3, "meaning": "high"}]}},
+    {"name": "alert__date", "no_data": 0, "source_layer": "alert__date_conf", "calc": "A - 8192 * floor(A / 8192)", "decode_expression": "(A + 16435).astype('datetime64[D]').astype(str)", "encode_expression": "datetime64(A) - 16435"},
+    {"name": "alert__confidence", "no_data": 0, "source_layer": "alert__date_conf", "calc": "floor(A / 8192)", "raster_table": {"rows": [{"value": 2, "meaning": ""}, {"value": 3, "meaning": "high"}]}},
     {"name": "value__per_ha", "no_data": "nan"},
     {"name": "value__total", "no_data": "nan", "source_layer": "value__per_ha", "calc": "A * area"},
+    {"name": "level__pct", "no_data": 0, "raster_table": {"rows": [{"value": k, "meaning": 10 * k} for k in range(1, 6)]}},
+    {"name": "grade__code", "no_data": 0, "raster_table": {"rows": [{"value": 1, "meaning": 30}, {"value": 2, "meaning": 10}, {"value": 4, "meaning": 20}]}},
     {"name": "is__flag", "no_data": 0, "raster_table": {"rows": [{"value": 0, "meaning": "false"}, {"value": 1, "meaning": "true"}]}},
 ]
 LINEITEM_ENVIRONMENT = [
@@ -54,8 +56,10 @@ def px_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("percent__k"),
         k.alias("any__k"),
         (F.col("user_id") % 20 + 1).cast("int").alias("loss__year"),
-        (day + 10000 * (2 + F.col("user_id") % 2)).cast("int").alias("alert__date_conf"),
+        (day + 8192 * (2 + F.col("user_id") % 2)).cast("int").alias("alert__date_conf"),
         value.alias("value__per_ha"),
+        (F.col("event_id") % 7).cast("int").alias("level__pct"),
+        (F.col("event_id") % 5).cast("int").alias("grade__code"),
         (F.col("event_id") % 2).cast("int").alias("is__flag"),
     )
 
@@ -73,8 +77,3 @@ def px_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("price"),
         F.datediff(F.to_date("l_shipdate"), F.lit("1994-12-31").cast("date")).alias("ship__date"),
     )
-
-
-def read_layers(spark: SparkSession, template: str, tile_ids: list[str]) -> DataFrame:
-    """Parquet layer files of some tiles, by a template with {tile_id}; Spark prunes columns and pushes filters down."""
-    return spark.read.parquet(*[template.format(tile_id=t) for t in tile_ids])

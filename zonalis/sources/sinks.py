@@ -1,4 +1,4 @@
-"""Result sinks: records with whole numbers as ints, CSV with five decimals, and a cache of results."""
+"""Result sinks: records with whole numbers as ints, and CSV with five decimals."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import hashlib
 import io
 import json
 import math
-import time
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,20 +41,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in floats.items()}).write.mode("overwrite").option("header", True).csv(path)
 
 
-def cache_key(query: str, environment: list[dict], geometry: dict) -> str:
+def cache_key(query: str, environment: list[dict], geometry: dict | None = None) -> str:
+    """A key of the query and its environment, and of a geometry where one is given."""
     return hashlib.sha256(json.dumps([query, environment, geometry], sort_keys=True).encode()).hexdigest()
-
-
-def cached(spark: SparkSession, root: str, key: str, make: DataFrame, lifetime: float = 172_800) -> DataFrame:
-    """The result stored under key if it is younger than lifetime, else make, stored; a status row marks whole results."""
-    def status() -> list:
-        return spark.read.json(f"{root}/{key}/status").collect()  # one row
-
-    try:
-        stored = status()
-    except Exception:  # nothing is stored yet
-        stored = []
-    if not stored or time.time() - stored[0]["at"] > lifetime:
-        make.write.mode("overwrite").parquet(f"{root}/{key}/rows")
-        spark.createDataFrame([("success", time.time())], "status string, at double").write.mode("overwrite").json(f"{root}/{key}/status")
-    return spark.read.parquet(f"{root}/{key}/rows")
