@@ -3,18 +3,23 @@
 A repeat of `window` words holds, wherever it starts, a whole block of half as many words that starts at a multiple of
 that number in its own document. These non-overlapping blocks are the index; every rolling window of their length probes
 it. Blocks met at two places or more are anchors. A window of `window` words can repeat only if every block inside it is
-an anchor; such windows, the maximal extensions of anchors, are then counted by their own 64-bit hashes, and words under a
-window that starts at two places or more are removed.
+an anchor; such windows, together the maximal extensions of anchors, are then counted by 64-bit hashes, and those met at
+two places once more by a second, independent hash. Words under a window that starts at two places are removed.
+
+So windows are equal if 128 bits are. Of N windows, M of them met twice by the first hash, each is taken wrongly with a
+probability of at most N * M / 2**128: at 100 TB (N about 1.6e13, M a tenth of it) not one in the whole corpus is to be
+expected, even without the anchors' selection.
 
 Scale: documents are gathered in packs of about PACK words, compressed and written once; the pack is the unit of all
-passes. A pack sends each hash range its sorted distinct hashes, coded as differences; a range answers with a bit per
-hash. So hot passages cost one entry per pack, a pass moves about three bytes per word once and bits back, and every task
-holds one pack or one range (their number follows the corpus). The anchor pass cuts hashes to the bits that keep chance
-meetings rare; it only selects, and the window pass uses all 64.
+passes. A pack sends each hash range that it has hashes in its sorted distinct ones, coded as differences; a range answers
+with a bit per hash. So hot passages cost one entry per pack, a pass moves about three bytes per word once and bits back,
+and every task holds one pack or one range (their number follows the corpus). The anchor pass cuts hashes to the bits that
+keep chance meetings rare; it only selects.
 
 Defined results: a null or empty text has no words, 0 removed and the digest of nothing; documents of fewer words than the
 window are kept whole; repeated rows remove each other's windows (all copies, the first included); rows with a null doc_id
-take part; an empty table gives no rows; other columns are ignored.
+take part; an empty table gives no rows; other columns are ignored; a very long text is a pack of its own, held whole in
+memory of some 60 bytes per character.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, table, text_buffers
-from .words import prefix_sums, run_hashes, word_hashes
+from .common import materialise, mix, partitions, table, text_buffers
+from .words import byte_sums, prefix_sums, run_hashes, word_hashes
 
 WINDOW, PACK, RANGE = 35, 400_000, 6_000_000
 PACK_SCHEMA = "pack long, words long, body binary"
@@ -91,6 +96,13 @@ class Pack:
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         return run_hashes(self.sums, at, at + length)
 
+    def second(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Other 64-bit hashes of the same runs, from other hashes of the words and joined with the first."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        sums = prefix_sums(run_hashes(byte_sums(self.raw, 1), self.start, self.end, 1), 1)
+        return mix(run_hashes(sums, at, at + length, 1) + self.hashes(at, length) * np.uint64(0x9E3779B97F4A7C15))
+
 
 def code(values: np.ndarray) -> bytes:
     """Sorted distinct uint64 as differences, in byte planes, so that their idle upper bytes compress."""
@@ -125,13 +137,12 @@ def ask(number: int, values: np.ndarray, wanted: np.ndarray | None, ranges: int,
     distinct = v[at]
     twice = np.diff(np.append(at, len(v))) > 1
     asked = np.ones(len(at), bool) if wanted is None else np.logical_or.reduceat(wanted[order], at) if len(at) else np.zeros(0, bool)
-    cuts = np.array([-(-(r << width) // ranges) for r in range(1, ranges)], object)
-    ends = np.append(np.searchsorted(distinct, np.array([int(c) for c in cuts], np.uint64)), len(distinct)) if ranges > 1 else np.array([len(distinct)])
-    a = 0
-    for r, b in enumerate(ends.tolist()):
-        if b > a:
-            yield r, number, code(distinct[a:b]), bits(twice[a:b]), bits(asked[a:b])
-        a = b
+    # ranges divide the values evenly by their upper 32 bits; only those that hold a value are gone through
+    upper = distinct >> np.uint64(width - 32) if width > 32 else distinct << np.uint64(32 - width)
+    own = (upper * np.uint64(ranges)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(own, prepend=own[:1] - np.uint64(1)) != 0)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(distinct)], strict=True) if len(distinct) else ():
+        yield int(own[a]), number, code(distinct[a:b]), bits(twice[a:b]), bits(asked[a:b])
 
 
 def answer(asked: DataFrame, ranges: int) -> DataFrame:
@@ -189,11 +200,6 @@ def settle(values: np.ndarray, wanted: np.ndarray | None, answers: list[tuple[in
     return out
 
 
-def with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
-    lists = answers.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias("answers"))  # a bit per hash of the pack
-    return packs.join(lists.hint("merge"), "pack", "left").select("pack", "body", "answers")  # one plan at every size
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of docs (doc_id, text); see the module."""
     if window < 2:
@@ -242,12 +248,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = anchored(p, answers)
                 yield from rows(ask(number, p.hashes(at, window), None, ranges, 64))
 
+    def repeated(p: Pack, got: list, more: list) -> np.ndarray:
+        """Starts of the windows whose blocks are anchors and whose first hash is met at two places."""
+        at = anchored(p, [(x["range"], x["hits"]) for x in got or ()])
+        return at[settle(p.hashes(at, window), None, [(x["range"], x["hits"]) for x in more or ()], ranges, 64)]
+
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, got, more in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for number, body, got, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p = Pack(body.as_py())
-                at = anchored(p, [(x["range"], x["hits"]) for x in got or ()])
-                hit = settle(p.hashes(at, window), None, [(x["range"], x["hits"]) for x in more or ()], ranges, 64)
+                yield from rows(ask(number, p.second(repeated(p, got, more), window), None, ranges, 64))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, got, more, sure in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                p = Pack(body.as_py())
+                at = repeated(p, got, more)
+                hit = settle(p.second(at, window), None, [(x["range"], x["hits"]) for x in sure or ()], ranges, 64)
                 cover = np.zeros(len(p.row) + 1, np.int64)
                 np.add.at(cover, at[hit], 1)
                 np.add.at(cover, at[hit] + window, -1)
@@ -265,12 +282,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             gone.append(n - len(mine))
         return pa.RecordBatch.from_arrays([p.table["doc_id"].combine_chunks(), pa.array(p.count), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
+    def answers(given: DataFrame, name: str) -> DataFrame:
+        lists = given.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias(name))  # a bit per hash of the pack
+        return lists.hint("merge")  # one plan at every size
+
     anchors = materialise(answer(packs.select("pack", "body").mapInArrow(first, fields), ranges), "anchors")
-    one = with_answers(packs, anchors)
+    one = packs.join(answers(anchors, "answers"), "pack", "left").select("pack", "body", "answers")
     windows = materialise(answer(one.mapInArrow(second, fields), ranges), "windows")
-    lists = windows.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias("more"))
-    both = one.join(lists.hint("merge"), "pack", "left").select("pack", "body", "answers", "more")
-    return both.mapInArrow(third, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    two = one.join(answers(windows, "more"), "pack", "left").select("pack", "body", "answers", "more")
+    sure = materialise(answer(two.mapInArrow(third, fields), ranges), "sure")
+    three = two.join(answers(sure, "sure"), "pack", "left").select("pack", "body", "answers", "more", "sure")
+    return three.mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,23 +14,25 @@ import pyarrow as pa
 
 from .common import mix
 
-BASE = np.uint64(0x5851F42D4C957F2D)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+BASES = np.array([0x5851F42D4C957F2D, 0x9FB21C651E98DF25], np.uint64)
+INVERSES = np.array([pow(int(b), -1, 2**64) for b in BASES], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n; kept for the largest n so far."""
-    if len(_powers.get("up", ())) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers and inverse powers of a base for exponents below n; kept for the largest n so far."""
+    if which not in _powers or len(_powers[which][0]) < n:
         n = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("up", BASE), ("down", INVERSE)):
+        both = []
+        for base in (BASES[which], INVERSES[which]):
             x = np.full(n, base, np.uint64)
             x[0] = 1
             np.multiply.accumulate(x, out=x)
-            _powers[key] = x
-    return _powers["up"], _powers["down"]
+            both.append(x)
+        _powers[which] = both[0], both[1]
+    return _powers[which]
 
 
 def release() -> None:
@@ -62,23 +64,24 @@ def boundaries(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(values) + 1)
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    up, _ = powers(len(values) + 1, which)
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs [start, end) of the values under `sums`; equal runs anywhere hash alike."""
-    _, down = powers(len(sums))
+def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the runs [start, end) of the values under `sums`; equal runs anywhere hash alike. `which` chooses one of two
+    independent bases, that of the sums."""
+    _, down = powers(len(sums), which)
     x = (sums[end] - sums[start]) * down[start]
     x += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(x)
 
 
-def byte_sums(raw: np.ndarray) -> np.ndarray:
-    return prefix_sums(raw.astype(np.uint64) + np.uint64(1))
+def byte_sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    return prefix_sums(raw.astype(np.uint64) + np.uint64(1), which)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
