@@ -416,6 +416,7 @@ def test_matroska(spark, odd):
             data = media.write_matroska(payload, style=style)
             m = media.read_matroska(data)
             assert media.payload_of(data, m) == payload and [at for _, _, at in m.cues] == m.clusters
+            assert all(media.tail_of(data, m, k) == payload[-k:] for k in (1, 16, 200, 10**6))
             assert m.tracks[1] == {"number": 1, "codec": "A_PCM/INT/LIT", "rate": 8000.0, "channels": 1, "depth": 8}
     for style, frames in (("xiph", [b"a" * 600, b"b" * 255, b"c", b"d" * 3]), ("ebml", [b"a" * 600, b"b" * 2, b"c" * 9000, b"d" * 3])):
         flags, body = media.lace(frames, style)

@@ -233,6 +233,29 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
     return b"".join(data[a : a + s] for a, s in zip(at.tolist(), size.tolist(), strict=True))
 
 
+def tail_of(data: bytes, media: Media, n: int, track: int = 1) -> bytes:
+    """The last n bytes of a track: from the cluster of its last cue on, earlier cues only where that holds too little."""
+    out = b""
+    for _, _, start in sorted((c for c in media.cues if c[1] == track), key=lambda c: -c[2]):
+        kind, at, _ = vint(data, start, True)
+        size, at, _ = vint(data, at, False)
+        if kind != CLUSTER:
+            raise ValueError("a cue points to no cluster")
+        parts, end = [], at + size
+        while at < end:
+            kind, at, _ = vint(data, at, True)
+            size, at, _ = vint(data, at, False)
+            if kind == SIMPLE:
+                number, _, where, sizes = packets_of_block(data, at, at + size)
+                if number == track:
+                    parts.append(data[int(where[0]) : int(where[-1] + sizes[-1])])  # frames of a block stand together
+            at += size
+        out = b"".join(parts) + out
+        if len(out) >= n:
+            break
+    return out[-n:]
+
+
 def describe(payload: bytes, media: Media) -> str:
     """Features of the packets and the samples read back."""
     _, time, _, size = media.columns()
@@ -296,7 +319,7 @@ def media_features(stored: DataFrame) -> DataFrame:
                 except ValueError:
                     media = Media()
                 payload = payload_of(data, media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), describe(payload, media)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(tail_of(data, media, 16)), len(data), hashlib.sha256(data).hexdigest(), describe(payload, media)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             found = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], [c.split()[0] for c in schema.split(", ")])
