@@ -116,9 +116,16 @@ def test_rejected_partners_do_not_hide_a_true_one():
     assert near_dedup.star_edges(np.arange(30), sig, role, 0.75, 8)[1]
     bands = np.arange(60).reshape(30, 2)
     bands[:, 1] = 99
-    assert {tuple(e) for e in near_dedup.all_edges(np.arange(30), sig, role, bands, 99, 0.75)} == {(0, j) for j in range(1, 30)}
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(2**32, 100, replace=False)).astype("<u4")]
+    for i in range(1, 30):  # i of 100 hashes differ: 85 of 115 at i = 15
+        sets.append(np.sort(np.concatenate([sets[0][i:], rng.choice(2**32, i, replace=False).astype("<u4")])))
+    like = near_dedup.Likeness(num=85)
+    find = lambda s: {tuple(e) for e in near_dedup.all_edges(np.arange(30), sig, role, bands, 99, [x.tobytes() for x in s], np.full(30, 100), like)}
+    assert find(sets) == {(0, j) for j in range(1, 30) if 100 - j >= 0.85 * (100 + j)}
+    assert find([x[:60] for x in sets]) >= find(sets)  # cut sets are judged by an estimate
     bands[[0, 4], 0] = 7  # this pair met in the first band's bucket
-    assert (0, 4) not in {tuple(e) for e in near_dedup.all_edges(np.arange(30), sig, role, bands, 99, 0.75)}
+    assert (0, 4) not in find(sets)
 
 
 @pytest.mark.parametrize(("words", "changes", "block"), [(300, 6, 64), (16, 1, 4096)])

@@ -7,9 +7,11 @@ permutations, below 24 to as many as bins; sizes near a tier's end are in both t
 the sketch form banded buckets. Documents with equal shingle sets are one class, known by the set's digest, and one
 representative of it goes on. In a bucket, candidate edges are stars: around the members with most likely partners, and
 around every member towards its most alike one. Every edge is confirmed on full shingle sets before it links; a second
-round offers edges between the components still apart in a bucket, from each member to its eight most alike, and a third
-all the rest, each pair in the first bucket it shares, so that in the end every pair of a bucket whose estimate is hopeful
-is in one component or tried. Edges grow with members, but with pairs in a family of texts just too unlike.
+round offers edges between the components still apart in a bucket, from each member to its eight most alike (left out where
+few pairs are apart). In a last round all the rest of a bucket is compared where it stands, each pair in the first bucket
+it shares: pairs with a hopeful estimate by their least LEAST shingle hashes, which is the whole set of all but long texts,
+and only what links by them is offered. So in the end every pair of a bucket whose estimate is hopeful is in one component
+or tried, and edges grow with members and links, not with the pairs of a family of texts just too unlike.
 
 A link at the threshold is missed if its sides share no bucket (5 in 100,000) or if the estimate is four standard
 deviations off (3 in 100,000), and if nothing else joins the two.
@@ -40,7 +42,7 @@ from .common import chunks, discard, inner_name, materialise, mix, odd_constants
 from .components import connected_components
 from .words import lower_ascii, word_hashes
 
-BINS, BLOCK, SIDE, CHUNK, PROBES = 128, 4096, 32, 1 << 19, 64
+BINS, LEAST, BLOCK, SIDE, FEW, CHUNK, PROBES = 128, 1024, 4096, 32, 1024, 1 << 19, 64
 #: Tiers of set sizes: below so many shingles, a sketch is of so many permutations; the last tier has no end.
 TIERS = ((24, 128), (192, 8), (1 << 62, 1))
 
@@ -237,30 +239,72 @@ def star_edges(comp: np.ndarray, sig: np.ndarray, role: np.ndarray, hopeful: flo
     return list(out), more
 
 
-def all_edges(comp: np.ndarray, sig: np.ndarray, role: np.ndarray, bands: np.ndarray, bucket: int, hopeful: float) -> np.ndarray:
-    """Rows (i, j), i < j, of all hopeful pairs between components of a block, but for those that share an earlier band's bucket."""
-    least = int(np.ceil(hopeful * sig.shape[1]))
+def least_hashes(texts: DataFrame, like: Likeness) -> DataFrame:
+    """(id, least, size) of texts (id, text): the upper halves of the LEAST least shingle hashes, and the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(1))
+            for a, b in chunks(offsets, CHUNK):
+                z, r = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], like.words)
+                at = np.searchsorted(r, np.arange(b - a + 1))
+                few = [(z[i : min(j, i + LEAST)] >> np.uint64(32)).astype("<u4").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(few, pa.binary()), pa.array(np.diff(at))], ["id", "least", "size"])
+
+    return texts.select("id", "text").mapInArrow(run, "id binary, least binary, size long")
+
+
+def all_edges(comp: np.ndarray, sig: np.ndarray, role: np.ndarray, bands: np.ndarray, bucket: int, least: list[bytes], size: np.ndarray, like: Likeness) -> np.ndarray:
+    """Rows (i, j), i < j, of the pairs between components of a block that link, but for those that share an earlier band's bucket.
+
+    Pairs with a hopeful sketch are compared by their least hashes: sets of LEAST shingles at most as a whole, so that but for
+    chance meetings only true links are left, larger ones by an estimate, with four standard deviations to spare.
+    """
+    hope = int(np.ceil(like.hopeful * sig.shape[1]))
     ask, near = np.flatnonzero(role > 0), np.flatnonzero(role < 2)
     cols, number = np.ascontiguousarray(sig[near].T), int(np.argmax(bands[0] == bucket))
+    held = [np.frombuffer(x, "<u4") for x in least]
+    many = np.array([len(x) for x in held])
+    end = np.array([int(x[-1]) if len(x) < n else 1 << 32 for x, n in zip(held, size.tolist(), strict=True)])  # hashes up to here are known
+    _, flat = np.unique(np.concatenate(held), return_inverse=True)
+    value, start = np.concatenate(held), np.cumsum(many) - many
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    p = like.num / like.den
     out = [np.zeros((0, 2), np.int64)]
     for a in range(0, len(ask), 256):
         mine = ask[a : a + 256]
         same = np.zeros((len(mine), len(near)), np.uint8)
         for c, own in zip(cols, sig[mine].T, strict=True):
             same += own[:, None] == c[None, :]
-        i, j = np.nonzero((same >= least) & (comp[mine, None] != comp[None, near]))
-        i, j = mine[i], near[j]
-        first = np.ones(len(i), bool)
-        for k in range(number):
-            first &= bands[i, k] != bands[j, k]
-        out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[first])
+        hopeful = (same >= hope) & (comp[mine, None] != comp[None, near])
+        for i, row in zip(mine.tolist(), hopeful):
+            j = near[row]
+            first = np.ones(len(j), bool)
+            for k in range(number):
+                first &= bands[i, k] != bands[j, k]
+            j = j[first]
+            if not len(j):
+                continue
+            where = np.repeat(start[j] - (np.cumsum(many[j]) - many[j]), many[j]) + np.arange(int(many[j].sum()))
+            cut = np.cumsum(many[j]) - many[j]
+            mark[flat[start[i] : start[i] + many[i]]] = True
+            both = np.add.reduceat(mark[flat[where]], cut, dtype=np.int64)
+            mark[flat[start[i] : start[i] + many[i]]] = False
+            upto = np.minimum(end[i], end[j])
+            own = np.searchsorted(held[i], upto, side="right")
+            theirs = np.where(end[j] <= end[i], many[j], np.add.reduceat(value[where] <= end[i], cut, dtype=np.int64))
+            union = own + theirs - both
+            whole = upto == 1 << 32
+            limit = np.where(whole, p, p - 4 * np.sqrt(p * (1 - p) / np.maximum(1, union)))
+            j = j[both >= limit * union - 1e-9]
+            out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
     return np.unique(np.concatenate(out), axis=0)
 
 
 def candidates(members: DataFrame, like: Likeness, each: int | None) -> DataFrame:
     """Distinct edges (a, b, place), a < b, and a row of nulls where pairs of likely partners were not offered, from members (bucket, block, part, id, comp, sig, role), sorted.
 
-    each: partners that a member asks for beside the stars; None offers all, and needs the members' bands.
+    each: partners that a member asks for beside the stars; None offers all, and needs the members' bands and least hashes.
     place (bucket, at): at is the same for the edges between SIDE members and SIDE others that stand together in a block.
     """
     c = odd_constants(9, 5)
@@ -282,11 +326,17 @@ def candidates(members: DataFrame, like: Likeness, each: int | None) -> DataFram
             two = at[:-1][size == 2]
             near = (sig[two] == sig[two + 1]).sum(1) >= like.hopeful * sig.shape[1]
             two = two[near & (comp[two] != comp[two + 1])]
-            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if each is None else None
+            bands = least = size_of = None
+            if each is None:
+                bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+                least, size_of = t["least"].to_pylist(), t["size"].to_numpy()
             found, more = [np.stack([two, two + 1], 1)], False
-            for a, b in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+            most = 1 if bands is not None else 2
+            if bands is not None:
+                found = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(at[:-1][size > most].tolist(), at[1:][size > most].tolist(), strict=True):
                 if bands is not None:
-                    found.append(all_edges(comp[a:b], sig[a:b], role[a:b], bands[a:b], int(t["bucket"][a].as_py()), like.hopeful) + a)
+                    found.append(all_edges(comp[a:b], sig[a:b], role[a:b], bands[a:b], int(t["bucket"][a].as_py()), least[a:b], size_of[a:b], like) + a)
                     continue
                 some, rest = star_edges(comp[a:b], sig[a:b], role[a:b], like.hopeful, each)
                 more |= rest
@@ -400,14 +450,19 @@ def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     links = tried = known = None
     comp = nodes.withColumn("comp", F.col("id"))
     done = [reps, members, texts]
-    for each in (1, 8, None):
+    rounds = [1, 8, None]
+    while rounds:
+        each = rounds.pop(0)
         dealt = members.join(comp.hint("merge"), "id")
-        if each is None:
-            dealt = dealt.join(reps.select("id", "tier", "bands").hint("merge"), ["id", "tier"])
         if tried is None:
             dealt = dealt.withColumns({"part": F.lit(0), "role": F.lit(1)})
         else:
             dealt = still_apart(dealt)
+        if each is None:
+            dealt = materialise(dealt, "apart")
+            done.append(dealt)
+            least = least_hashes(texts.join(dealt.select("id").distinct().hint("merge"), "id", "left_semi"), like)
+            dealt = dealt.join(reps.select("id", "tier", "bands").hint("merge"), ["id", "tier"]).join(least.hint("merge"), "id")
         dealt = dealt.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "id")
         edges = candidates(dealt, like, each)
         edges = edges.unionByName(across).groupBy("a", "b").agg(F.min("place").alias("place")) if tried is None else edges.join(tried, ["a", "b"], "left_anti")
@@ -424,6 +479,14 @@ def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
             comp = nodes.join(known.hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
         if not more:
             break
+        if each == 1:
+            parts = members.join(comp.hint("merge"), "id").groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+            parts = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max("m").alias("top"))
+            rows, apart = parts.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - F.col("top")))).first()
+            if not apart:  # every bucket is one component
+                break
+            if apart <= FEW * rows:  # the round of eight is there to join components before many pairs are compared
+                rounds = [None]
     classes = classes.withColumn("group", F.col("id"))
     if known is not None:
         classes = classes.drop("group").join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("group", F.coalesce("component", "id"))
