@@ -13,7 +13,8 @@ expected, even without the anchors' selection.
 Scale: documents are gathered in packs of about PACK words, compressed and written once; the pack is the unit of all
 passes. A pack sends each hash range that it has hashes in its sorted distinct ones, coded as differences; a range answers
 with a bit per hash. So hot passages cost one entry per pack, a pass moves about three bytes per word once and bits back,
-and every task holds one pack or one range (their number follows the corpus). The anchor pass cuts hashes to the bits that
+and every task holds one pack or one range (their number follows the corpus). A pack takes the places that it still asks about to
+its next pass, a bit per word, so no pass does an earlier one's work again. The anchor pass cuts hashes to the bits that
 keep chance meetings rare; it only selects.
 
 Defined results: a null or empty text has no words, 0 removed and the digest of nothing; documents of fewer words than the
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import materialise, mix, partitions, table, text_buffers
 from .words import byte_sums, prefix_sums, run_hashes, word_hashes
 
-WINDOW, PACK, RANGE = 35, 400_000, 6_000_000
+WINDOW, PACK, RANGE, NOTE = 35, 400_000, 6_000_000, -1
 PACK_SCHEMA = "pack long, words long, body binary"
 
 
@@ -145,8 +147,15 @@ def ask(number: int, values: np.ndarray, wanted: np.ndarray | None, ranges: int,
         yield int(own[a]), number, code(distinct[a:b]), bits(twice[a:b]), bits(asked[a:b])
 
 
+def note(number: int, at: np.ndarray, n: int, ranges: int) -> tuple:
+    """A row beside those of ask() that brings places among n words to the pack's next pass."""
+    marks = np.zeros(n, bool)
+    marks[at] = True
+    return -1 - number % ranges, number, bits(marks), b"", b""
+
+
 def answer(asked: DataFrame, ranges: int) -> DataFrame:
-    """(pack, range, hits): a bit for each asked-for hash of a pack in a range, set where it starts at two places."""
+    """(pack, range, hits): a bit for each asked-for hash of a pack in a range, set where it starts at two places; notes as they are."""
     schema = "pack long, range int, hits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +183,9 @@ def answer(asked: DataFrame, ranges: int) -> DataFrame:
 
         for batch in batches:
             for i, r in enumerate(batch.column(0).to_pylist()):
+                if r < 0:  # a pack's own note
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array([NOTE], pa.int32()), batch.column(2).slice(i, 1)], ["pack", "range", "hits"])
+                    continue
                 if r != now and held:
                     yield from done()
                     held = []
@@ -240,31 +252,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 _, values, own = probes(Pack(body.as_py()))
                 yield from rows(ask(number, values, own, ranges, width))
 
+    def noted(p: Pack, got: list) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+        """The places that the last pass noted, and the answers to it."""
+        answers = {x["range"]: x["hits"] for x in got or ()}
+        marks = answers.pop(NOTE, b"")
+        return np.flatnonzero(unbits(marks, len(p.row))) if marks else np.zeros(0, np.int64), list(answers.items())
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body, got in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 p = Pack(body.as_py())
-                answers = [(x["range"], x["hits"]) for x in got or ()]
-                at = anchored(p, answers)
-                yield from rows(ask(number, p.hashes(at, window), None, ranges, 64))
-
-    def repeated(p: Pack, got: list, more: list) -> np.ndarray:
-        """Starts of the windows whose blocks are anchors and whose first hash is met at two places."""
-        at = anchored(p, [(x["range"], x["hits"]) for x in got or ()])
-        return at[settle(p.hashes(at, window), None, [(x["range"], x["hits"]) for x in more or ()], ranges, 64)]
+                at = anchored(p, [(x["range"], x["hits"]) for x in got or ()])
+                if len(at):
+                    yield from rows(chain(ask(number, p.hashes(at, window), None, ranges, 64), [note(number, at, len(p.row), ranges)]))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body, got, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for number, body, got in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 p = Pack(body.as_py())
-                yield from rows(ask(number, p.second(repeated(p, got, more), window), None, ranges, 64))
+                at, answers = noted(p, got)
+                at = at[settle(p.hashes(at, window), None, answers, ranges, 64)]
+                if len(at):
+                    yield from rows(chain(ask(number, p.second(at, window), None, ranges, 64), [note(number, at, len(p.row), ranges)]))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, got, more, sure in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            for body, got in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 p = Pack(body.as_py())
-                at = repeated(p, got, more)
-                hit = settle(p.second(at, window), None, [(x["range"], x["hits"]) for x in sure or ()], ranges, 64)
+                at, answers = noted(p, got)
+                hit = settle(p.second(at, window), None, answers, ranges, 64)
                 cover = np.zeros(len(p.row) + 1, np.int64)
                 np.add.at(cover, at[hit], 1)
                 np.add.at(cover, at[hit] + window, -1)
@@ -282,17 +298,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             gone.append(n - len(mine))
         return pa.RecordBatch.from_arrays([p.table["doc_id"].combine_chunks(), pa.array(p.count), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    def answers(given: DataFrame, name: str) -> DataFrame:
-        lists = given.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias(name))  # a bit per hash of the pack
-        return lists.hint("merge")  # one plan at every size
+    def answered(given: DataFrame) -> DataFrame:
+        """(pack, body, answers): the packs with what they were answered and have noted."""
+        lists = given.groupBy("pack").agg(F.collect_list(F.struct("range", "hits")).alias("answers"))  # a bit per hash of the pack
+        return packs.join(lists.hint("merge"), "pack", "left").select("pack", "body", "answers")  # one plan at every size
 
     anchors = materialise(answer(packs.select("pack", "body").mapInArrow(first, fields), ranges), "anchors")
-    one = packs.join(answers(anchors, "answers"), "pack", "left").select("pack", "body", "answers")
-    windows = materialise(answer(one.mapInArrow(second, fields), ranges), "windows")
-    two = one.join(answers(windows, "more"), "pack", "left").select("pack", "body", "answers", "more")
-    sure = materialise(answer(two.mapInArrow(third, fields), ranges), "sure")
-    three = two.join(answers(sure, "sure"), "pack", "left").select("pack", "body", "answers", "more", "sure")
-    return three.mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    windows = materialise(answer(answered(anchors).mapInArrow(second, fields), ranges), "windows")
+    sure = materialise(answer(answered(windows).mapInArrow(third, fields), ranges), "sure")
+    return answered(sure).mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
