@@ -301,8 +301,9 @@ def nearest(parsed: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages (page_id, url, html); see the module."""
     parsed = materialise(parse_pages(pages), "lines")
-    pairs = parsed.where("host is not null").join(nearest(parsed), ["host", "path"], "left").select("page_id", "url", "lines", "stays", "hashes", "other")
-    alone = parsed.where("host is null").select("page_id", "url", "lines", "stays", "hashes", F.lit(None).cast("array<long>").alias("other"))
+    judged = F.col("host").isNotNull() & ~F.forall("stays", lambda x: x)  # pages whose lines all stay need no partner
+    pairs = parsed.where(judged).join(nearest(parsed), ["host", "path"], "left").select("page_id", "url", "lines", "stays", "hashes", "other")
+    alone = parsed.where(~judged).select("page_id", "url", "lines", "stays", "hashes", F.lit(None).cast("array<long>").alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
