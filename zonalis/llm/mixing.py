@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: dict[tuple, float] | None = None, tota
     paths = [F.coalesce(c.cast("string"), F.lit("\0")).alias(n) for n, c in zip(LEAF, (domain_of(F.col("source")) if domain is None else domain, F.col("lang"), F.col("source")), strict=True)]
     row = F.xxhash64("doc_id", "text")
     light = materialise(docs.select(*paths, row.alias("_row"), tokens_of(F.col("text")).alias("_n")), "supply")
-    supply = {(r[0], r[1], r[2]): r[3] for r in light.groupBy(*LEAF).agg(F.sum("_n")).toLocalIterator()}  # a row per leaf of the tree
+    supply = {(r[0], r[1], r[2]): r[3] for r in light.groupBy(*LEAF).agg(F.sum("_n")).collect()}  # a row per leaf of the tree
     if weights is None:
         sums: dict[tuple, float] = defaultdict(float)
         for path, n in supply.items():
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: dict[tuple, float] | None = None, tota
         wanted = hint(spark.createDataFrame([(*p, float(w)) for p, (_, _, w) in open_.items()], f"{fields}, want double"))
         run = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("slot"))  # SPLITS rows a leaf at most
         cuts = sums_.withColumn("run", run).join(wanted, LEAF).where("run >= want").groupBy(*LEAF).agg(F.min(F.struct("slot", "run", "n", "width")).alias("m"))
-        found = {(r[0], r[1], r[2]): r["m"] for r in cuts.toLocalIterator()}  # a row per leaf
+        found = {(r[0], r[1], r[2]): r["m"] for r in cuts.collect()}  # a row per leaf
         following = {}
         for p, (base, bits, want) in open_.items():
             if p not in found:
