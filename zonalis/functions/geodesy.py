@@ -12,15 +12,21 @@ MAJOR, MINOR = 6378137.0, 6356752.314245179
 ECCENTRICITY = math.sqrt(1 - (MINOR / MAJOR) ** 2)
 
 
-def _zone(sine: Column) -> Column:
-    """Area between the equator and a latitude, over pi * b**2, from the latitude's sine."""
-    return F.atanh(ECCENTRICITY * sine) / ECCENTRICITY + sine / (1 - (ECCENTRICITY * sine) * (ECCENTRICITY * sine))
-
-
 def pixel_area_ha(latitude: Column, width: float) -> Column:
-    """Hectares of a pixel of `width` degrees whose southern edge is at latitude."""
-    north, south = (_zone(F.sin(F.radians(x))) for x in (latitude + F.lit(width), latitude))
-    return F.abs(north - south) * (math.pi * MINOR**2 * width / 360 / 10000)
+    """Hectares of a pixel of `width` degrees whose southern edge is at latitude.
+
+    The area between two latitudes, by differences that don't cancel: subtracting two areas from the equator would leave ten
+    digits. Beyond a pole, where only synthetic rows are, the surface element goes on as in the queries' SQL: its sign is
+    that of the latitude's cosine.
+    """
+    half = math.radians(width / 2)
+    middle = F.radians(latitude + F.lit(width / 2))
+    south, north = F.sin(middle - F.lit(half)), F.sin(middle + F.lit(half))
+    rise = F.cos(middle) * F.lit(2 * math.sin(half))  # north - south
+    e2 = ECCENTRICITY * ECCENTRICITY
+    curve = F.atanh(ECCENTRICITY * rise / (1 - e2 * south * north)) / ECCENTRICITY
+    plain = rise * (1 + e2 * south * north) / ((1 - e2 * south * south) * (1 - e2 * north * north))
+    return (curve + plain) * (math.pi * MINOR**2 * width / 360 / 10000)
 
 
 def tile_area_ha(tile_row: Column, width: float, tile_pixels: int) -> Column:
