@@ -10,7 +10,7 @@ from tests.test_queries import plain
 from zonalis.functions.geodesy import MAJOR, MINOR, pixel_area_ha
 from zonalis.queries import ORACLE_SQL, QUERIES
 
-FAR = ["alias", "group_one", "lineitem_ship_week", "auto_area_layer", "derived_times_area", "lineitem_filtered_area"]
+FAR = ["alias", "group_one", "lineitem_ship_week", "auto_area_layer", "derived_times_area", "lineitem_filtered_area", "zonal_sum_area"]
 
 
 @pytest.fixture(scope="module")
