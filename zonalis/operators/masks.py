@@ -20,6 +20,12 @@ BROADCAST_INTERVALS = 200_000
 RINGS = "array<array<array<array<double>>>>"
 
 
+def distinct_shapes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fid, _shape) of the features (fid, geometry), and a feature (_shape as fid, geometry) for each different text."""
+    keyed = features.select("fid", "geometry", F.coalesce(F.sha2("geometry", 256), F.lit("")).alias("_shape"))
+    return keyed.select("fid", "_shape"), keyed.groupBy("_shape").agg(F.min("geometry").alias("geometry")).withColumnRenamed("_shape", "fid")
+
+
 def polygons(features: DataFrame) -> DataFrame:
     """features (fid, geometry) with rings, an array of polygons of closed rings of points; null where the GeoJSON is unusable.
 

@@ -17,7 +17,7 @@ from ..functions.expressions import to_column
 from ..functions.geodesy import tile_area_ha
 from ..operators.cube import clean, co_register, fill_missing, tiles_of
 from ..operators.grids import TILE_PIXELS, Grid
-from ..operators.masks import Shape, boxes, mask, mask_features
+from ..operators.masks import Shape, boxes, distinct_shapes, mask, mask_features
 from ..sources.files import pixels_inside, read_layer, touched
 from .catalog import RESERVED, Catalog, Layer
 from .rsql import Comparison, Logical, Query, Selector, parse
@@ -163,14 +163,22 @@ class Engine:
 
         Every feature gets what sql() gives for it alone: its own order and LIMIT, and without GROUP BY a row of 0 (null for
         AVG) where it has no pixels. A feature with an unusable geometry gets no rows; see operators.batch for its status.
+        Features of one geometry text share its evaluation.
         """
+        q = parse(query) if isinstance(query, str) else query
+        keyed, shapes = distinct_shapes(features)
+        out = keyed.join(self.sql_shapes(q, shapes).withColumnRenamed("fid", "_shape"), "_shape").drop("_shape")
+        return self.ordered(out, q, ["fid"])
+
+    def sql_shapes(self, query: str | Query, shapes: DataFrame) -> DataFrame:
+        """sql_many without order between rows, for features (fid, geometry) that each have their own fid and geometry."""
         q, sources, grid = self.analyse(query)
-        inside = mask_features(self.table(q, sources, features, grid), features, grid)
+        inside = mask_features(self.table(q, sources, shapes, grid), shapes, grid)
         out = self.evaluate(inside, q, grid, ["fid"])
         if q.aggregates and not q.groups:
             blank = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0).cast(out.schema[n].dataType)) for n, a in zip(self.names(q), q.aggregates, strict=True) if a.name != "avg"}
-            out = boxes(features).select("fid").join(out, "fid", "left").withColumns(blank)
-        return self.finish(out, q, ["fid"])
+            out = boxes(shapes).select("fid").join(out, "fid", "left").withColumns(blank)
+        return self.limited(out, q, ["fid"])
 
     def evaluate(self, df: DataFrame, q: Query, grid: Grid, by: list[str]) -> DataFrame:
         df = self.filtered(df, q, grid)
@@ -215,7 +223,12 @@ class Engine:
         return df.select(*by, *out)
 
     def finish(self, df: DataFrame, q: Query, by: list[str]) -> DataFrame:
-        """Order and limit; orders name result columns before or after AS. Groups are in key order by default."""
+        """Order and limit; a limit holds for each key of `by`."""
+        df = self.ordered(self.limited(df, q, by), q, by)
+        return df if by or not q.limit else df.limit(q.limit)
+
+    def order(self, q: Query) -> list[Column]:
+        """Orders name result columns before or after AS. Groups are in key order by default."""
         names = self.names(q)
         plain = [n for g in (q.groups if q.aggregates else q.selectors) for n in self._outputs(g)]
         plain += [a.layer if a.name != "count" else "count" for a in q.aggregates]
@@ -223,9 +236,15 @@ class Engine:
         orders = [(at.get(o.column, o.column), o.ascending) for o in q.orders]
         if not orders and q.groups and q.aggregates:
             orders = [(n, True) for n in names[: len(names) - len(q.aggregates)]]
-        order = [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in orders]
-        if by and q.limit:  # Spark keeps the first rows of a key before it shuffles
-            place = F.row_number().over(Window.partitionBy(*by).orderBy(*order or [F.lit(0)]))
-            df = df.withColumn("_place", place).where(F.col("_place") <= q.limit).drop("_place")
-        df = df.orderBy(*by, *order) if order else df
-        return df if by or not q.limit else df.limit(q.limit)
+        return [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_last() for c, up in orders]
+
+    def limited(self, df: DataFrame, q: Query, by: list[str]) -> DataFrame:
+        if not by or not q.limit:
+            return df
+        # Spark keeps the first rows of a key before it shuffles
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*self.order(q) or [F.lit(0)]))
+        return df.withColumn("_place", place).where(F.col("_place") <= q.limit).drop("_place")
+
+    def ordered(self, df: DataFrame, q: Query, by: list[str]) -> DataFrame:
+        order = self.order(q)
+        return df.orderBy(*by, *order) if order else df
