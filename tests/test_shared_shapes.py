@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from zonalis.operators.batch import envelopes
 from zonalis.plans import engine as planner
 from zonalis.plans.engine import Engine
 from zonalis.queries import SHAPES
@@ -36,3 +37,13 @@ def test_features_share_a_geometry(spark, sf_dir, features, masked, text):
     if "ORDER" in text:
         assert got == want
     assert masked == [5]  # of ten features: three shapes, one unusable text and null
+
+
+def test_envelopes_share_a_geometry(spark, sf_dir, features, masked):
+    engine = Engine(spark, events_catalog(), px_events(spark, sf_dir))
+    text = "SELECT loss__year, COUNT(*) AS n FROM data GROUP BY loss__year ORDER BY n DESC, loss__year LIMIT 3"
+    got = {r.fid: r for r in envelopes(engine, text, features).collect()}
+    assert len(got) == 10 and masked == [5]
+    for f, n in NAMES.items():
+        assert got[f].status == "success" and json.loads(got[f].data) == to_records(engine.sql(text, SHAPES[n]))
+    assert all(got[f].status == "failed" and got[f].message and got[f].data is None for f in ("bad1", "bad2", "none1", "none2"))

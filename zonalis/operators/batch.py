@@ -12,7 +12,7 @@ from ..plans.catalog import Catalog
 from ..plans.engine import Engine
 from ..sources.sinks import cache_key, to_csv, to_records
 from ..sources.store import ResultStore
-from .masks import polygons
+from .masks import distinct_shapes, polygons
 
 
 def run_request(spark: SparkSession, request: dict, pixels: DataFrame | dict[str, DataFrame]) -> dict:
@@ -82,15 +82,18 @@ def envelopes(engine: Engine, query: str, features: DataFrame) -> DataFrame:
 
     The query is parsed once: if it is invalid all features fail. A feature with an unusable geometry fails alone.
     """
-    status = feature_status(features).select("fid", "status", F.col("detail").alias("message"))
+    keyed, shapes = distinct_shapes(features)
+    status = feature_status(shapes).select("fid", "status", F.col("detail").alias("message"))
     try:
-        out = engine.sql_many(query, features)
+        q = engine.analyse(query)[0]
+        out = engine.ordered(engine.sql_shapes(q, shapes), q, ["fid"])
     except QueryParseError as e:
-        return status.select("fid", F.lit("failed").alias("status"), F.lit(str(e)).alias("message"), F.lit(None).cast("string").alias("data"))
+        return features.select("fid", F.lit("failed").alias("status"), F.lit(str(e)).alias("message"), F.lit(None).cast("string").alias("data"))
     row = F.struct(F.monotonically_increasing_id().alias("_at"), F.struct(*(f"`{c}`" for c in out.columns[1:])).alias("row"))
     rows = out.select("fid", row.alias("r")).groupBy("fid").agg(F.to_json(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), {"ignoreNullFields": "false"}).alias("data"))
     good = F.col("status") == "success"
-    return status.join(rows, "fid", "left").withColumn("data", F.when(good, F.coalesce("data", F.lit("[]"))))
+    told = status.join(rows, "fid", "left").withColumn("data", F.when(good, F.coalesce("data", F.lit("[]"))))
+    return keyed.join(told.withColumnRenamed("fid", "_shape"), "_shape").drop("_shape")
 
 
 def stored_many(engine: Engine, query: str, features: DataFrame, root: str, lifetime: float = 172_800) -> DataFrame:
