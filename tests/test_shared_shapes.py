@@ -5,6 +5,7 @@ import json
 import pytest
 
 from zonalis.operators.batch import envelopes
+from zonalis.operators.masks import distinct_shapes
 from zonalis.plans import engine as planner
 from zonalis.plans.engine import Engine
 from zonalis.queries import SHAPES
@@ -47,3 +48,12 @@ def test_envelopes_share_a_geometry(spark, sf_dir, features, masked):
     for f, n in NAMES.items():
         assert got[f].status == "success" and json.loads(got[f].data) == to_records(engine.sql(text, SHAPES[n]))
     assert all(got[f].status == "failed" and got[f].message and got[f].data is None for f in ("bad1", "bad2", "none1", "none2"))
+
+
+def test_shapes_are_dealt_out(spark):
+    """Scanlines are made where their shapes are: a few small texts must not all come to one task."""
+    box = lambda i: json.dumps({"type": "Polygon", "coordinates": [[[10, 4], [10.5 + i / 1000, 4], [10.5, 4.5], [10, 4.5]]]})
+    features = spark.createDataFrame([(str(i), box(i % 40)) for i in range(80)], "fid string, geometry string")
+    keyed, shapes = distinct_shapes(features)
+    parts = [len(p) for p in shapes.rdd.glom().collect()]
+    assert keyed.count() == 80 and sum(parts) == 40 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 20

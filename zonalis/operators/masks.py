@@ -21,9 +21,13 @@ RINGS = "array<array<array<array<double>>>>"
 
 
 def distinct_shapes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fid, _shape) of the features (fid, geometry), and a feature (_shape as fid, geometry) for each different text."""
+    """(fid, _shape) of the features (fid, geometry), and a feature (_shape as fid, geometry) for each different text.
+
+    Shapes are dealt out anew: few bytes become many scanlines, which AQE doesn't see, and dealt by shape they would stay so.
+    """
     keyed = features.select("fid", "geometry", F.coalesce(F.sha2("geometry", 256), F.lit("")).alias("_shape"))
-    return keyed.select("fid", "_shape"), keyed.groupBy("_shape").agg(F.min("geometry").alias("geometry")).withColumnRenamed("_shape", "fid")
+    shapes = keyed.groupBy("_shape").agg(F.min("geometry").alias("geometry")).withColumnRenamed("_shape", "fid")
+    return keyed.select("fid", "_shape"), shapes.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def polygons(features: DataFrame) -> DataFrame:
