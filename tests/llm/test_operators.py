@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ from zonalis.llm import embedding_dedup, gbdt, html_extract, media, mixing, near
 from zonalis.llm.components import connected_components
 from zonalis.llm.queries import QUERIES
 from zonalis.llm.tokens import Memo, memo
+from zonalis.llm import words as wordlib
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "two words", "a a a a a a a a", "x" * 5000, "tab\tand\nline\r\x0b\x0c end", "é ñ ü 日本語 🙂", "word " * 3000, "same text here twice", "same text here twice", "  lead  and   trail  "]
@@ -151,6 +153,38 @@ def test_repeated_and_null_ids_are_judged_by_their_text(spark):
     assert kept == Counter({(5, a): 1, (5, b): 1, (None, a): 1, (None, None): 1, (None, ""): 1})
 
 
+def test_small_searches_write_few_files(spark, docs, monkeypatch):
+    """However many partitions a shuffle has, and with the same rows."""
+    expected = Counter(near_dedup.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(near_dedup, "discard", lambda *tables: None)
+    few = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    base = Path(near_dedup.materialise(docs.limit(0), "place").stored_at.removeprefix("file:")).parent
+    checkpoints = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old = {*base.iterdir(), *checkpoints.iterdir()}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        found = near_dedup.drop_near_duplicates(docs)
+        assert found.rdd.getNumPartitions() <= 4 + docs.rdd.getNumPartitions()
+        assert Counter(found.collect()) == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    written = {d.name: len(list(d.glob("part-*"))) for d in {*base.iterdir(), *checkpoints.iterdir()} - old if d.is_dir()}
+    assert {n.split("-")[0] for n in written} >= {"classes", "representatives", "members", "texts", "edges", "links", "components", "groups", "kept", "rdd"}
+    assert max(written.values()) <= 4, written  # one for each core
+
+
+def test_waiting_workers_hold_no_tables():
+    def run(batches):
+        wordlib.powers(1 << 20)
+        yield from batches
+
+    assert list(wordlib.lean(run)(iter([1, 2]))) == [1, 2]
+    assert not wordlib._powers
+
+
 def test_rounds_go_on_past_rejected_partners(spark):
     base = [f"w{i}" for i in range(600)]
     rng = np.random.default_rng(8)

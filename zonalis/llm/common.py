@@ -25,11 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and return its reader; this cuts lineage and survives lost executors."""
+#: Rows and words that one file of a table takes, where partitions are too many for it.
+FILE_ROWS, FILE_WORDS = 1 << 13, 1 << 21
+
+
+def files_for(spark: SparkSession, rows: int, words: int) -> int:
+    """Files enough for tables on so many documents with so many words: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS), -(-words // FILE_WORDS))
+
+
+def in_files(df: DataFrame, files: int | None) -> DataFrame:
+    """df in `files` partitions where a shuffle has four times as many or more, else as it is.
+
+    Every partition becomes a file, and on a local file system without Hadoop's native library the executor starts two or
+    three processes (chmod) for each, which for a moment share, and are counted with, the memory of its JVM.
+    """
+    return df.repartition(files) if files and 4 * files <= partitions(df) else df
+
+
+def materialise(df: DataFrame, name: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and return its reader; this cuts lineage and survives lost executors.
+
+    files: see `in_files`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    in_files(df, files).write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import in_files, shared_dir
 
 
 def _hung(edges: DataFrame) -> DataFrame:
@@ -18,17 +18,20 @@ def _hung(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges (u, v): the smallest node reachable. Loops, repeats and nulls do no harm."""
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, component) for the nodes of edges (u, v): the smallest node reachable. Loops, repeats and nulls do no harm.
+
+    files: of a checkpoint, see `in_files`; without it, one for each partition of a shuffle.
+    """
     shared_dir(edges.sparkSession)
-    cur = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    cur = in_files(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), files).checkpoint()
     state = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         hung = _hung(large)
         small = hung.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        cur = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct().checkpoint()
+        cur = in_files(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), files).checkpoint()
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, inner_name, materialise, mix, odd_constants, table, text_buffers
+from .common import chunks, discard, files_for, in_files, inner_name, materialise, mix, odd_constants, table, text_buffers
 from .components import connected_components
-from .words import lower_ascii, word_hashes
+from .words import lean, lower_ascii, word_hashes
 
 BINS, LEAST, BLOCK, SIDE, FEW, CHUNK, PROBES = 128, 1024, 4096, 32, 1024, 1 << 19, 64
 #: Tiers of set sizes: below so many shingles, a sketch is of so many permutations; the last tier has no end.
@@ -188,7 +188,7 @@ def sketch_table(docs: DataFrame, like: Likeness) -> DataFrame:
                 nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), each)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(size), pa.array(digest, pa.binary()), nested], ["doc_id", "text_key", "n_shingles", "digest", "sketches"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key(), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_key(), "text").mapInArrow(lean(run), schema)
 
 
 def text_key() -> Column:
@@ -251,7 +251,7 @@ def least_hashes(texts: DataFrame, like: Likeness) -> DataFrame:
                 few = [(z[i : min(j, i + LEAST)] >> np.uint64(32)).astype("<u4").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(few, pa.binary()), pa.array(np.diff(at))], ["id", "least", "size"])
 
-    return texts.select("id", "text").mapInArrow(run, "id binary, least binary, size long")
+    return texts.select("id", "text").mapInArrow(lean(run), "id binary, least binary, size long")
 
 
 def all_edges(comp: np.ndarray, sig: np.ndarray, role: np.ndarray, bands: np.ndarray, bucket: int, least: list[bytes], size: np.ndarray, like: Likeness) -> np.ndarray:
@@ -362,7 +362,7 @@ def candidates(members: DataFrame, like: Likeness, each: int | None) -> DataFram
         if held:
             yield edges(pa.Table.from_batches(held))
 
-    found = members.mapInArrow(run, "a binary, b binary, bucket long, at long")
+    found = members.mapInArrow(lean(run), "a binary, b binary, bucket long, at long")
     return found.groupBy("a", "b").agg(F.min(F.struct("bucket", "at")).alias("place"))
 
 
@@ -420,24 +420,30 @@ def confirm(edges: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     given = ends.join(texts.select(F.col("id").alias("a"), "text").hint("merge"), "a").select("bucket", "at", "a", F.lit(None).cast("binary").alias("b"), "text")
     rows = given.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
     dealt = rows.repartition("bucket", "at").sortWithinPartitions("bucket", "at", F.col("b").asc_nulls_first())
-    return dealt.select("bucket", "at", "a", "b", "text").mapInArrow(run, "a binary, b binary")
+    return dealt.select("bucket", "at", "a", "b", "text").mapInArrow(lean(run), "a binary, b binary")
 
 
 def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(doc_id, text_key, n_shingles, group, component_id) per row of docs (doc_id, text); see the module. Rows that link with
     nothing because they have no words or no doc_id have no group."""
+    return _search(docs, like)[0]
+
+
+def _search(docs: DataFrame, like: Likeness) -> tuple[DataFrame, int]:
+    """The rows of similar_rows, and files enough for a table on docs."""
     sketch = materialise(sketch_table(docs, like), "sketch")
+    files = files_for(docs.sparkSession, *sketch.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first())
     full = sketch.where("digest is not null and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")).select(F.col("digest").alias("id"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes, "classes", files=files)
     own = (F.col("rep") == F.col("doc_id")) & (F.col("rep_key") == F.col("text_key")) & (F.col("id") == F.col("digest"))
     reps = full.join(classes.hint("merge"), own).select("id", "sketches").dropDuplicates(["id"])  # rows repeated whole
-    reps = materialise(reps.select("id", F.explode("sketches").alias("s")).select("id", "s.tier", "s.bands", "s.sig"), "representatives")
+    reps = materialise(reps.select("id", F.explode("sketches").alias("s")).select("id", "s.tier", "s.bands", "s.sig"), "representatives", files=files)
     rows = reps.select("id", "tier", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     inside = rows.join(shared.hint("merge"), "bucket")
     block = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / BLOCK))).otherwise(0).cast("int")
-    members = materialise(inside.select("bucket", block.alias("block"), "id", "tier", "n").join(reps.select("id", "tier", "sig").hint("merge"), ["id", "tier"]), "members")
+    members = materialise(inside.select("bucket", block.alias("block"), "id", "tier", "n").join(reps.select("id", "tier", "sig").hint("merge"), ["id", "tier"]), "members", files=files)
     wide = members.where(F.col("n") > BLOCK)  # a star across the blocks of a wide bucket
     hubs = wide.groupBy("bucket").agg(F.min("id").alias("hub"))
     some = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SIDE)))
@@ -446,7 +452,7 @@ def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     nodes = members.select("id").distinct()
     wanted = classes.join(nodes.hint("merge"), "id").select("id", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
     texts = docs.select(F.col("doc_id").cast("long"), text_key(), "text").join(wanted.hint("merge"), ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
-    texts = materialise(texts, "texts")
+    texts = materialise(texts, "texts", files=files)
     links = tried = known = None
     comp = nodes.withColumn("comp", F.col("id"))
     done = [reps, members, texts]
@@ -459,23 +465,23 @@ def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         else:
             dealt = still_apart(dealt)
         if each is None:
-            dealt = materialise(dealt, "apart")
+            dealt = materialise(dealt, "apart", files=files)
             done.append(dealt)
             least = least_hashes(texts.join(dealt.select("id").distinct().hint("merge"), "id", "left_semi"), like)
             dealt = dealt.join(reps.select("id", "tier", "bands").hint("merge"), ["id", "tier"]).join(least.hint("merge"), "id")
         dealt = dealt.repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "id")
         edges = candidates(dealt, like, each)
         edges = edges.unionByName(across).groupBy("a", "b").agg(F.min("place").alias("place")) if tried is None else edges.join(tried, ["a", "b"], "left_anti")
-        edges = materialise(edges, "edges")
+        edges = materialise(edges, "edges", files=files)
         more = tried is None or not edges.where("a is null").isEmpty()  # the first round covers no pairs of blocks
         pairs = edges.where("a is not null")
-        new = materialise(confirm(pairs, texts, like), "links")
+        new = materialise(confirm(pairs, texts, like), "links", files=files)
         done += [edges, new]
         links = new if links is None else links.unionByName(new)
         pairs = pairs.select("a", "b")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not new.isEmpty():
-            known = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+            known = materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), files), "components", files=files)
             comp = nodes.join(known.hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
         if not more:
             break
@@ -491,12 +497,12 @@ def similar_rows(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     if known is not None:
         classes = classes.drop("group").join(known.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     least = classes.groupBy("group").agg(F.min("rep").alias("component_id"))
-    by_class = materialise(classes.join(least.hint("merge"), "group").select(F.col("id").alias("digest"), "group", "component_id"), "groups")
+    by_class = materialise(classes.join(least.hint("merge"), "group").select(F.col("id").alias("digest"), "group", "component_id"), "groups", files=files)
     discard(*done)
     names = ["doc_id", "text_key", "n_shingles", "group", "component_id"]
     out = full.join(by_class, "digest").select(names)
     alone = sketch.where("digest is null or doc_id is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    return out.unionByName(alone), files
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -508,14 +514,15 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """One row of each group of near duplicates, with all columns of docs: that of the least doc_id, then text key; of rows
     with both alike, one. Rows without a doc_id or without words stay, each."""
-    found = similar_rows(docs, like).where("group is not null")
+    found, files = _search(docs, like)
+    found = found.where("group is not null")
     least = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     key, text = inner_name(docs, "own_id"), inner_name(docs, "own_text")
-    stay = materialise(least.select(F.col("r.doc_id").alias(key), F.col("r.text_key").alias(text)), "kept")
+    stay = materialise(least.select(F.col("r.doc_id").alias(key), F.col("r.text_key").alias(text)), "kept", files=files)
     marked = docs.withColumns({key: F.col("doc_id").cast("long"), text: text_key()})
     one = marked.join(stay, [key, text], "left_semi").dropDuplicates([key, text])
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | wordless))
+    return in_files(one.select(docs.columns), files).unionByName(docs.where(F.col("doc_id").isNull() | wordless))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .tokens import memo
-from .words import release
+from .words import lean, release
 
 WINDOW, QUANTUM, DEPTH, GROUP_TOKENS, END = 4096, 64, 4, 1 << 22, 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, window: int
         sequences, spare = pack(pieces, window)
         yield rows(sequences + tail(spare))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

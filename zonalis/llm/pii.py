@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .gbdt import Isotonic, Trees, fit, isotonic
+from .words import lean
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("email_alt", "phone_alt", "id", "iban", "secret")
@@ -285,7 +286,7 @@ def find(docs: DataFrame) -> DataFrame:
             c = np.array(counts, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k]) for k in range(4)), pa.array(digests, pa.string()), pa.array(lists, pa.string())], [f.split()[0] for f in schema.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def redacted(text: str, select: Selector) -> str:
@@ -312,7 +313,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([o if t is None else len(t) for t, o in zip(texts, columns[size].to_pylist(), strict=True)], batch.schema.types[size])
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

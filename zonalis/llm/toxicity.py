@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialise, table, text_buffers
 from .gbdt import Isotonic, Trees, fit, isotonic
-from .words import SPACE, boundaries, byte_sums, run_hashes
+from .words import SPACE, boundaries, byte_sums, lean, run_hashes
 
 SAMPLE, CANDIDATES, FOLDS, CHUNK, SEED = 8000, 40_000, 4, 1 << 18, 5
 STEMS = (4, 5, 6)
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
                 v, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    common = rows.where("toxic = 1").select("text").mapInArrow(positives, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    common = rows.where("toxic = 1").select("text").mapInArrow(lean(positives), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     entries = common.where("n >= 3").orderBy(F.desc("n"), "h").limit(candidates).toPandas()
     keys = np.sort(entries["h"].to_numpy(np.int64).view(np.uint64))
     lexicon = Lexicon(keys, np.zeros((1, len(keys))), np.zeros((1, len(keys))))
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
             kind, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(total[kind, at])], ["kind", "at", "n"])
 
-    found = rows.selectExpr("text", "int(toxic > 0) toxic", "fold").mapInArrow(counts, "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.selectExpr("text", "int(toxic > 0) toxic", "fold").mapInArrow(lean(counts), "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((2 * FOLDS, len(keys)))
     total[found["kind"], found["at"]] = found["n"]
     docs_of = np.zeros(2 * FOLDS)
@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates:
                 x = features(batch.column(0).slice(a, b - a), batch.column(2).to_numpy()[a:b].astype(np.int64), lexicon)
                 yield pa.RecordBatch.from_arrays([batch.column(3).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
-    frame = rows.selectExpr("text", "int(toxic > 0) toxic", "fold", "doc_id").mapInArrow(describe, "doc_id long, toxic int, fold int, x array<double>").toPandas()
+    frame = rows.selectExpr("text", "int(toxic > 0) toxic", "fold", "doc_id").mapInArrow(lean(describe), "doc_id long, toxic int, fold int, x array<double>").toPandas()
     frame = frame.sort_values(["doc_id", "toxic"], kind="stable")
     y = frame["toxic"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1)))], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -313,7 +313,7 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
